@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plumbob.llm import fingerprints, ngram_jaccard
+from plumbob.llm import fingerprints, ngram_jaccard, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op6_fingerprints": fingerprints.op6_fingerprints,
 }
