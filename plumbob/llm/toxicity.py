@@ -212,11 +212,12 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[str
 
     stems = counts.select(F.explode(F.array(*(F.substring("w", 1, n) for n in STEMS))).alias("s"), "t", "c", "w").where("length(w) > length(s)")
     stems = stems.groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.expr("int(t > 0)")).alias("kinds")).where("kinds >= 4")
-    found = telling(stems, least).select(F.concat("s", F.lit("*")).alias("w")).union(telling(counts, 2 * least).select("w")).collect()
+    found = telling(stems, 2 * least).select(F.concat("s", F.lit("*")).alias("w"), "t", "c").union(telling(counts, 2 * least).select("w", "t", "c")).collect()
     learnt: set[str] = set()
-    for w in sorted((r.w for r in found), key=lambda w: (len(w), w)):
-        if not any(len(w) - (w[-1] == "*") > n and f"{w[:n]}*" in learnt for n in STEMS):
-            learnt.add(w)
+    for r in sorted(found, key=lambda r: (4 * r.c - r.t, len(r.w), r.w)):  # of nested beginnings the most telling
+        w = r.w.rstrip("*")
+        if not any(w.startswith(x.rstrip("*")) or x.startswith(w) for x in learnt):
+            learnt.add(r.w)
     return sorted(learnt)
 
 
