@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbob.llm import decontaminate, fingerprints, ngram_jaccard, toxicity
+from plumbob.llm import decontaminate, fingerprints, ngram_jaccard, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
+    "op4_secrets": secrets.op4_secrets,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op6_fingerprints": fingerprints.op6_fingerprints,
 }
