@@ -1 +1 @@
-"""A PySpark-native analytics engine for vector collections."""
+"""A Spark-native analytics engine for vector collections."""

@@ -1,0 +1,24 @@
+"""A folder that all executors share, for what queries write."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; without it only a local master,
+    where all is one process, gets a temporary folder."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="plumbob-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
