@@ -19,8 +19,9 @@ backtraced by itself.  Matrices take a few hundred numbers; texts travel once.
 
 Within a chunk, positions that no piece of the vocabulary can span (before a
 word, beside an unknown character) have one state, so a chunk is its first and
-last word fragment and words between, whose segmentations are kept in a memo
-of ``MEMO`` words.  A text without such positions is one long fragment and
+last word fragment and words between.  Those are whole by themselves; new ones are
+segmented many at a time by vectorised merges and kept in a memo of ``MEMO``
+words.  A text without such positions is one long fragment and
 works the same.
 
 As SentencePiece does, spaces become U+2581, a leading one is added, and
@@ -39,14 +40,20 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm.common import require, table, tuned
+from plumbob.llm.common import require, slices, table, tuned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
-MEMO = 300_000
+#: Words, and pairs of pieces, that a worker remembers at most.
+MEMO = 120_000
+#: Words of so many characters are segmented one by one; others so many at once.
+LONG, SEGMENTED = 64, 16384
+NEVER = 2**31 - 1
+ABSENT = -(1 << 31)
 SPACE = "▁"
 LOW = -np.inf
 
@@ -102,6 +109,16 @@ class Vocabulary:
             if len(parts) == 1:
                 self.split[p] = last
         self.usable = {p: self.ids[p] for p in self.split}
+        # Merges as arrays: (left, right) symbols to priority and merged symbol.
+        # A symbol is a piece's id, or from n on a character that isn't a piece.
+        symbol = dict(self.ids)
+        for c in sorted(set(chain.from_iterable(self.ids)) - symbol.keys()):
+            symbol[c] = n + len(symbol) - len(self.ids)
+        self.symbols = n + len(symbol) - len(self.ids)
+        tier = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        merges = sorted((symbol[p[:k]] * self.symbols + symbol[p[k:]], tier[self.score[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol)
+        self.merge_key, self.merge_tier, self.merge_to = (np.array(x, kind) for x, kind in zip(zip(*merges), (np.int64, np.int32, np.int32))) if merges else (np.zeros(0, k) for k in (np.int64, np.int32, np.int32))
+        self.chars = {c: i for c, i in symbol.items() if len(c) == 1}
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.starts = np.append(0, np.cumsum([len(b) for b in self.bytes])).astype(np.int64)
         scores = list(self.score.values())
@@ -112,14 +129,20 @@ class Vocabulary:
 class Table(dict):
     """Memo of words after a space: word to the number of its ids' row."""
 
-    def __init__(self, seg: "Segmenter"):
-        self.seg, self.flat, self.starts = seg, array("i"), array("q", [0])
+    def __init__(self):
+        self.flat, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.used = 0
 
-    def __missing__(self, body: str) -> int:
-        self.flat.extend(self.seg.word(SPACE + body))
-        self.starts.append(len(self.flat))
-        self[body] = row = len(self.starts) - 2
-        return row
+    def add(self, bodies: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        rows, end = len(self), self.used + len(flat)
+        while len(self.flat) < end:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) < rows + len(bodies) + 1:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[self.used : end] = flat
+        self.starts[rows + 1 : rows + len(bodies) + 1] = self.used + np.cumsum(sizes)
+        self.used = end
+        self.update(zip(bodies, range(rows, rows + len(bodies))))
 
 
 def gather(starts: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +158,11 @@ class Segmenter:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.table = Table(self)
+        self.table = Table()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for c, i in v.chars.items():
+            self.symbol[ord(c)] = i
 
     # ------------------------------------------------------------ the lattice
 
@@ -145,7 +170,7 @@ class Segmenter:
         """Whether BPE leaves ``a`` and ``b`` as two pieces."""
         if (known := self.pairs.get((a, b))) is not None:
             return known
-        if len(self.pairs) > 4 * MEMO:
+        if len(self.pairs) > MEMO:
             self.pairs.clear()
         ok = self.pairs[a, b] = self._compatible(a, b)
         return ok
@@ -255,44 +280,127 @@ class Segmenter:
     # ------------------------------------------------------------ words, texts
 
     def word(self, w: str) -> tuple[int, ...]:
-        """Ids of a string with sure positions at both ends."""
-        found = self.memo.get(w)
-        if found is None:
-            if "\n" in w and self.sure("\n", "a") and "\n" not in self.v.usable:
-                out: list[int] = []
-                for k, part in enumerate(w.split("\n")):
-                    if k:
-                        out += self.emit("\n")
-                    if part:
-                        out += self.word(part)
-                return tuple(out)
-            if len(w) > 2 and not w[-1].isalpha() and self.sure(w[-2], w[-1]):
-                found = self.word(w[:-1]) + self.emit(w[-1])
-            elif len(w) > 64:  # an unbroken run: cut it where no piece can span
-                cuts = [0, *(k for k in range(1, len(w)) if self.sure(w[k - 1], w[k])), len(w)]
-                found = tuple(i for a, b in zip(cuts, cuts[1:]) for p in self.path(w[a:b]) for i in self.emit(p))
-            else:
-                found = tuple(i for p in self.path(w) for i in self.emit(p))
-            if len(w) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[w] = found
-        return found
-
-    def words(self, s: str) -> list[tuple[int, ...]]:
-        """Ids, word by word, of a string that begins and ends at sure positions;
-        spaces are U+2581 already."""
-        word = self.word
-        out, at, n = [], 0, len(s)
-        while at < n:
-            end = at
-            while end < n and s[end] == SPACE:
-                end += 1
-            end = s.find(SPACE, end)
-            end = n if end < 0 else end
-            out.append(word(s[at:end]))
-            at = end
-        return out
+        """Ids of a string with sure positions at both ends, by the lattice."""
+        cuts = [0, *(k for k in range(1, len(w)) if self.sure(w[k - 1], w[k])), len(w)]
+        return tuple(i for a, b in zip(cuts, cuts[1:]) for p in self.path(w[a:b]) for i in self.emit(p))
+
+    def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of pairs of symbols among the merges; -1 where there is none."""
+        v = self.v
+        key = a.astype(np.int64) * v.symbols + b
+        at = np.minimum(np.searchsorted(v.merge_key, key), len(v.merge_key) - 1)
+        return np.where((a >= 0) & (b >= 0) & (v.merge_key[at] == key), at, -1)
+
+    def _tiers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self._merge(a, b)
+        return np.where(at >= 0, self.v.merge_tier[at], NEVER)
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short words, end to end, and their numbers.
+
+        All words take their best merge (the leftmost of equal ones) at the same
+        time, one after another; that is the words' best path.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(size) - size
+        known = self.symbol[code]
+        symbol = np.where(known >= 0, known, -1 - code).astype(np.int32)
+        order = np.argsort(size, kind="stable")
+        out_symbol, out_word = [], []
+        for lo in range(0, len(words), SEGMENTED):
+            own = order[lo : lo + SEGMENTED]
+            n, width = size[own].copy(), max(1, int(size[own].max()))
+            place = np.arange(width)
+            m = np.full((len(own), width + 1), ABSENT, np.int32)
+            inside = place < n[:, None]
+            m[:, :width][inside] = symbol[(begin[own][:, None] + place)[inside]]
+            tier = np.full((len(own), width), NEVER, np.int32)
+            if len(self.v.merge_key):
+                tier = self._tiers(m[:, :-1], m[:, 1:]).astype(np.int32)
+            while len(own):
+                best = tier.argmin(1)
+                row = np.arange(len(own))
+                live = tier[row, best] < NEVER
+                if not live.all():
+                    done = ~live
+                    keep = np.arange(m.shape[1]) < n[done][:, None]
+                    out_symbol.append(m[done][keep])
+                    out_word.append(np.repeat(own[done], n[done]))
+                    own, n, m, tier, best = own[live], n[live], m[live], tier[live], best[live]
+                    if not len(own):
+                        break
+                    width = int(n.max())
+                    m, tier = m[:, : width + 1], tier[:, :width]
+                    row = np.arange(len(own))
+                m[row, best] = self.v.merge_to[self._merge(m[row, best], m[row, best + 1])]
+                place = np.arange(m.shape[1], dtype=np.int32)
+                m = np.take_along_axis(m, np.minimum(place + (place > best[:, None]), m.shape[1] - 1), 1)
+                m[:, -1] = ABSENT
+                n -= 1
+                place = np.arange(tier.shape[1])
+                tier = np.take_along_axis(tier, np.minimum(place + (place >= best[:, None]), tier.shape[1] - 1), 1)
+                tier[:, -1] = NEVER
+                tier[row, best] = self._tiers(m[row, best], m[row, best + 1])
+                left = np.maximum(best - 1, 0)
+                tier[row, left] = np.where(best > 0, self._tiers(m[row, left], m[row, left + 1]), tier[row, left])
+        found, word = np.concatenate(out_symbol), np.concatenate(out_word)
+        back = np.argsort(word, kind="stable")
+        found, word = found[back], word[back]
+        odd = np.flatnonzero((found < 0) | (found >= self.v.size))
+        if len(odd):
+            letter = {i: c for c, i in self.v.chars.items()}
+            kinds, which = np.unique(found[odd], return_inverse=True)
+            ids = [self.emit(letter[x] if x >= 0 else chr(-1 - x)) for x in kinds.tolist()]
+            count = np.ones(len(found), np.int64)
+            count[odd] = np.array([len(x) for x in ids])[which]
+            first = np.cumsum(count) - count
+            wide = np.repeat(found, count)
+            for k, x in enumerate(ids):
+                for j, i in enumerate(x):
+                    wide[first[odd[which == k]] + j] = i
+            found, word = wide, np.repeat(word, count)
+        return found.astype(np.int32), np.bincount(word, minlength=len(words))
+
+    def lookup(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each after a space, end to end, and their numbers."""
+        if len(self.table) > MEMO:
+            self.table = Table()
+        table = self.table
+        new = list(set(bodies) - table.keys())
+        short = [w for w in new if len(w) < LONG]
+        if short:
+            table.add(short, *self.segment([SPACE + w for w in short]))
+        for w in new:
+            if len(w) >= LONG:
+                ids = self.word(SPACE + w)
+                table.add([w], np.array(ids, np.int32), np.array([len(ids)]))
+        rows = np.fromiter(map(table.__getitem__, bodies), np.int64, len(bodies))
+        return gather(table.starts, table.flat, rows)
+
+    def words(self, s: str) -> np.ndarray:
+        """Ids of a string that begins and ends at sure positions; spaces are
+        U+2581 already."""
+        if not s:
+            return np.zeros(0, np.int32)
+        head, _, rest = s.partition(SPACE)
+        parts = [np.array(self.word(head), np.int32)] if head else []
+        if _:
+            bodies = rest.split(SPACE)
+            if all(bodies):
+                parts.append(self.lookup(bodies)[0])
+            else:  # runs of spaces belong to the word after them
+                at, n, s = 0, len(rest) + 1, SPACE + rest
+                while at < n:
+                    end = at
+                    while end < n and s[end] == SPACE:
+                        end += 1
+                    end = s.find(SPACE, end)
+                    end = n if end < 0 else end
+                    w = s[at:end]
+                    parts.append(np.array(self.word(w), np.int32) if w[1:2] == SPACE or len(w) == 1 else self.lookup([w[1:]])[0])
+                    at = end
+        return np.concatenate(parts)
 
     def encode(self, text: str) -> array:
         """Ids of a whole text that is one chunk."""
@@ -300,34 +408,22 @@ class Segmenter:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that are one chunk each, end to end, and their numbers."""
-        if len(self.table) > MEMO:
-            self.table = Table(self)
-        parts: list[np.ndarray] = []
+        plain = [k for k, t in enumerate(texts) if t and not ("  " in t or SPACE in t or t[0] == " " or t[-1] == " ")]
+        split = [texts[k].split(" ") for k in plain]
+        flat, size = self.lookup(list(chain.from_iterable(split)))
         sizes = np.zeros(len(texts), np.int64)
-        plain, bodies, counts = [], [], []
-        for k, t in enumerate(texts):
-            if not t:
-                continue
-            if "  " in t or SPACE in t or t[0] == " " or t[-1] == " ":
-                continue
-            w = t.split(" ")
-            plain.append(k)
-            bodies += w
-            counts.append(len(w))
-        rows = np.fromiter(map(self.table.__getitem__, bodies), np.int64, len(bodies))
-        flat, size = gather(np.frombuffer(self.table.starts, np.int64), np.frombuffer(self.table.flat, np.int32) if self.table.flat else np.zeros(0, np.int32), rows)
-        if len(counts) == sum(1 for t in texts if t):
-            if counts:
-                sizes[plain] = np.add.reduceat(size, np.cumsum([0, *counts[:-1]]))
+        if split:
+            sizes[plain] = np.add.reduceat(size, np.cumsum([0, *map(len, split[:-1])]))
+        if len(plain) == sum(1 for t in texts if t):
             return flat, sizes
-        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(size, np.cumsum([0, *counts[:-1]])))]) if counts else np.zeros(1, np.int64)
-        where = dict(zip(plain, range(len(plain))))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        parts, one = [], set(plain)
         for k, t in enumerate(texts):
-            if not t:
-                continue
-            ids = flat[ends[where[k]] : ends[where[k] + 1]] if k in where else np.fromiter(chain.from_iterable(self.words(normal(t))), np.int32)
-            parts.append(ids)
-            sizes[k] = len(ids)
+            if k in one:
+                parts.append(flat[ends[k] : ends[k + 1]])
+            elif t:
+                parts.append(self.words(normal(t)))
+                sizes[k] = len(parts[-1])
         return np.concatenate(parts), sizes
 
     # ------------------------------------------------------------ chunks
@@ -422,9 +518,9 @@ class Segmenter:
             return out
         out.extend(k for z in self.path(s[e:a], x) for k in self.emit(z))
         if b == q and end == q:
-            out.extend(chain.from_iterable(self.words(s[a:q])))
+            out.frombytes(self.words(s[a:q]).tobytes())
             return out
-        out.extend(chain.from_iterable(self.words(s[a:b])))
+        out.frombytes(self.words(s[a:b]).tobytes())
         out.extend(k for z in self.path(s[b:end], None, y) for k in self.emit(z))
         return out
 
@@ -503,8 +599,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         v = sent.value
         seg = segmenter(v)
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            if not b.num_rows:
+                continue
+            # a null text counts as empty
+            offsets = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            for i, j in slices(offsets):
+                part = b.slice(i, j - i)
                 texts = part.column("text").to_pylist()
                 null = np.array([t is None for t in texts])
                 ids, sizes = seg.encode_all(texts)
