@@ -176,7 +176,7 @@ def query_response(spark, sf):
 def service_query(spark, sf):
     """A search by the index that the collection's size asks for."""
     docs, q = read(spark, sf, "embeddings"), _vector_of(spark, sf)
-    index = search.index_choice(docs.agg(F.count("*").alias("rows"))).first().index
+    index = search.index_choice(docs.agg(F.count("*").alias("rows"))).first()["index"]
     search.checked_query(q, len(q))
     if index == "exact":
         found = search.top_k(docs, q, K, "l2")
