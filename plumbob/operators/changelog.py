@@ -9,23 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbob.workdir import ensure_checkpoint_dir
+
 LOG_BYTES, LOG_INSERTS, KEPT_FILES = 100 << 20, 10_000, 10
 
 
 def append(log: DataFrame, incoming: DataFrame, order: str, lsn: str = "lsn") -> DataFrame:
     """``incoming`` with dense log numbers after the log's last, in ``order``.
 
-    Numbers are offsets of range partitions plus a row's place in its own, so
-    no task sees more than one partition.
+    Numbers are offsets of range partitions plus a row's place in its own.  The
+    places are checkpointed: ranges are sampled, and a task that ran again
+    might cut them differently.
     """
+    ensure_checkpoint_dir(log.sparkSession)
     last = log.agg(F.coalesce(F.max(lsn), F.lit(0)).alias("_last"))
-    rows = incoming.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    rows = incoming.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id").checkpoint()
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     out = rows.join(F.broadcast(before), "_part").crossJoin(F.broadcast(last))
-    return out.withColumn(lsn, (F.col("_last") + F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before", "_last")
+    return out.withColumn(lsn, (F.col("_last") + F.col("_before") + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_before", "_last")
 
 
 def replay(log: DataFrame, start: int = 0, lsn: str = "lsn") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histogram, in seconds.
@@ -15,9 +17,35 @@ def windowed_ratio(log: DataFrame, ts: str, bad: Column, minutes: int = 5, most:
     return rows.select(F.col("_w.start").alias("window_start"), *by, "bad", "total", (F.col("bad") / F.col("total")).alias("ratio"), (F.col("bad") / F.col("total") > most).alias("firing"))
 
 
+def ranked_values(log: DataFrame, value: str, picks: dict[str, tuple[float, Callable[[Column], Column]]], by: tuple[str, ...] = (), accuracy: int = 10_000) -> DataFrame:
+    """``(*by, n, *picks)``: exact values at ranks of each group's sorted values.
+
+    A pick is a share of the values near its rank and the rank from 0 as a
+    function of n.  A sketch brackets each rank first; what is below a bracket
+    is only counted, so a group shuffles the distinct values of its brackets, a
+    few in ``accuracy``, and no task holds a group's values.  Nulls don't count.
+    """
+    base = log.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    slack = 2 / accuracy
+    ends = [x for p, _ in picks.values() for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    stats = base.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    # the sketch of a group that is smaller than its steps isn't needed
+    tests = F.array(*(F.struct(F.lit(i).alias("k"), F.when(F.col("n") > accuracy, F.col("_e")[2 * i]).alias("lo"), F.when(F.col("n") > accuracy, F.col("_e")[2 * i + 1]).alias("hi"), rank(F.col("n")).cast("long").alias("rank")) for i, (_, rank) in enumerate(picks.values())))
+    stats = stats.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), "n", F.explode(tests).alias("_t"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    rows = base.join(stats, same).where(F.col("_t.hi").isNull() | (F.col("_v") <= F.col("_t.hi")))
+    counts = rows.groupBy(*by, "n", "_t", F.when(F.col("_t.lo").isNull() | (F.col("_v") >= F.col("_t.lo")), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by, "_t").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    found = counts.withColumn("_end", F.sum("_c").over(order)).where(F.col("_end") > F.col("_t.rank"))
+    return found.groupBy(*by, "n").agg(*(F.min(F.when(F.col("_t.k") == i, F.col("_v"))).alias(name) for i, name in enumerate(picks)))
+
+
 def exact_percentile(log: DataFrame, value: str, p: float, by: tuple[str, ...] = ()) -> DataFrame:
     """``(*by, value)``: the smallest value with a share ``p`` at or below it."""
-    return log.groupBy(*by).agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}"))
+    name = f"p{round(p * 100)}"
+    return ranked_values(log, value, {name: (p, lambda n: F.greatest(F.ceil(n * p) - 1, F.lit(0)))}, by).select(*by, name)
 
 
 def sketch_percentile(log: DataFrame, value: str, p: float, by: tuple[str, ...] = (), accuracy: int = 10_000) -> DataFrame:
@@ -27,19 +55,12 @@ def sketch_percentile(log: DataFrame, value: str, p: float, by: tuple[str, ...]
 
 
 def indexed_percentiles(log: DataFrame, value: str, ps: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
-    """``sorted[min(floor(n*p), n-1)]`` of each group.
+    """``(*by, n, ...)``: ``sorted[min(floor(n*p), n-1)]`` of each group."""
 
-    Ranks come from counts of distinct values, so what a group shuffles is its
-    distinct values.
-    """
-    from pyspark.sql import Window
-
-    counts = log.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    rows = counts.withColumn("_end", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(w))
-    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    picks = [F.min(F.when(F.col("_end") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
-    return rows.groupBy(*by, "n").agg(*picks)
+    def rank(p: float) -> Callable[[Column], Column]:
+        return lambda n: F.least(F.floor(n * p), n - 1)
+
+    return ranked_values(log, value, {f"p{round(p * 100)}": (p, rank(p)) for p in ps}, by)
 
 
 def bucket_counts(log: DataFrame, value: str, bounds: tuple[float, ...] = BOUNDS, by: tuple[str, ...] = ()) -> DataFrame:

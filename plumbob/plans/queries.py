@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from plumbob.functions import embedding, vectors
 from plumbob.functions.vectors import Metric
 from plumbob.operators import ann, catalog, changelog, collections, metrics, resilience, search, tiering
-from plumbob.plans.workdir import work_path
 from plumbob.sources import imports, snapshots, wal
+from plumbob.workdir import work_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -1,4 +1,4 @@
-"""A folder that all executors share, for what queries write."""
+"""The folder that all executors share, for what is written on the way."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; without it only a local master,
-    where all is one process, gets a temporary folder."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without it only a local master, where all is
+    one process, gets a temporary folder."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
@@ -20,5 +20,11 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plumbob-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -86,6 +86,17 @@ def test_metrics(spark):
     assert [r["count"] for r in metrics.bucket_counts(log, "v", (9.0, 49.0)).orderBy(F.col("le").asc_nulls_last()).collect()] == [10, 50, 100]
 
 
+@pytest.mark.parametrize("accuracy", [10, 100_000])
+def test_ranks_are_exact(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    rows = [(k, float(x)) for k, n in (("a", 1000), ("b", 7), (None, 40), ("ties", 300)) for x in (rng.integers(0, 5, n) if k == "ties" else rng.normal(size=n))] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    picks = {"low": (0.0, lambda n: F.lit(0)), "mid": (0.5, lambda n: F.floor(n * 0.5)), "top": (1.0, lambda n: n - 1)}
+    for r in metrics.ranked_values(df, "v", picks, ("k",), accuracy).collect():
+        v = sorted(x for k, x in rows if k == r.k and x is not None)
+        assert (r.n, r.low, r.mid, r.top) == (len(v), v[0], v[len(v) // 2], v[-1])
+
+
 def test_embedding(spark):
     docs = spark.createDataFrame([(1, "hi"), (2, "hi"), (3, "there"), (4, None), (5, "")], "k int, t string")
     got = {r.k: r.embedding for r in embedding.embed(docs, "k", "t").collect()}
