@@ -94,6 +94,29 @@ def ann_cells(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str
     return _reranked(q.join(v, "cell"), k, metric)
 
 
+def build_cells(docs: DataFrame, path: str, size: Cells | str = "balanced", metric: Metric | str = Metric.COSINE, key: str = "vec_id", vector: str = "embedding") -> None:
+    """Write the vectors by cell, and the centres beside them; to build again is
+    to write another path."""
+    metric, size = Metric.of(metric), preset(size, CELLS) if isinstance(size, str) else size
+    v, _ = _sides(docs, docs.select(F.col(key).alias("query_id"), vector).limit(0), key, vector, metric)
+    centres = train_cells(v, size.cells, "v")
+    docs.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    v.withColumn("cell", _nearest(centres, 1)("v")[0]).repartition("cell").write.partitionBy("cell").parquet(f"{path}/cells")
+
+
+def search_cells(spark, path: str, queries: DataFrame, k: int, probes: int, metric: Metric | str = Metric.COSINE, vector: str = "embedding") -> DataFrame:
+    """Search what ``build_cells`` wrote; cells that no query probes are pruned
+    before they are read."""
+    checked_k(k)
+    metric = Metric.of(metric)
+    centres = np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
+    unit = normalized(vector) if metric is Metric.COSINE else F.col(vector).cast("array<double>")
+    q = queries.select("query_id", unit.alias("q")).withColumn("cell", F.explode(_nearest(centres, probes)("q")))
+    wanted = sorted(r.cell for r in q.select("cell").distinct().collect())  # at most one a centre
+    v = spark.read.parquet(f"{path}/cells").where(F.col("cell").isin(wanted))
+    return _reranked(q.join(v, "cell"), k, metric)
+
+
 def ann_planes(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, size: Planes | str = "balanced", key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
     """Signs of random projections are hash keys; what shares one is compared."""
 
