@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; it bounds a worker's memory.
 SLICE_BYTES = 1 << 20
-#: Text rows handed to a Python worker at once.
-ARROW_ROWS = 1000
+#: Rows and bytes handed to a Python worker at once, at most (or one row).
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +56,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def tuned(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small: texts may be long and workers' memory is not."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -24,7 +24,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,12 +122,16 @@ def _match_all(items: Items, coverage: float):
         for b in batches:
             keys = b.column("doc_id").to_numpy(zero_copy_only=False)
             rows = [(keys[r], *m) for r, words in each_words(b.column("text")) for m in items.match(words, coverage)]
-            found = pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "matched", "tiles"])
-            yield pa.RecordBatch.from_pandas(found.astype({"doc_id": "int64", "item_id": "int64", "coverage": "float64", "matched": "int32", "tiles": "int32"}), preserve_index=False)
+            yield _found(rows)
 
     return run
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "coverage": pa.float64(), "matched": pa.int32(), "tiles": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+
 def _seeds(key: str, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,12 +164,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     near = a.join(b, "seed").select("doc_id", "item_id").distinct()
     pairs = near.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, *m[1:]) for d, i, t, x in zip(f.doc_id, f.item_id, f.text, f.item) for m in Items([(i, x)], least).match(one_text_words(t), coverage)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "matched", "tiles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item")))
+            yield _found([(d, i, *m[1:]) for d, i, t, x in rows for m in Items([(i, x)], least).match(one_text_words(t), coverage)])
 
-    return pairs.mapInPandas(run, SCHEMA).distinct()
+    return pairs.mapInArrow(run, SCHEMA).distinct()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED) -> DataFrame:

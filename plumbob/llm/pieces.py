@@ -38,13 +38,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm.common import require, slices, table, tuned
+from plumbob.llm.common import list_array, require, slices, table, tuned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -126,15 +125,16 @@ class Vocabulary:
         self.key = f"{path}:{n}:{hash(tuple(order[:100]))}"
 
 
-class Table(dict):
+class Table:
     """Memo of words after a space: word to the number of its ids' row."""
 
     def __init__(self):
+        self.rows: dict[str, int] = {}
         self.flat, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
         self.used = 0
 
     def add(self, bodies: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        rows, end = len(self), self.used + len(flat)
+        rows, end = len(self.rows), self.used + len(flat)
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < rows + len(bodies) + 1:
@@ -142,7 +142,7 @@ class Table(dict):
         self.flat[self.used : end] = flat
         self.starts[rows + 1 : rows + len(bodies) + 1] = self.used + np.cumsum(sizes)
         self.used = end
-        self.update(zip(bodies, range(rows, rows + len(bodies))))
+        self.rows.update(zip(bodies, range(rows, rows + len(bodies))))
 
 
 def gather(starts: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,10 +364,10 @@ class Segmenter:
 
     def lookup(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each after a space, end to end, and their numbers."""
-        if len(self.table) > MEMO:
+        if len(self.table.rows) > MEMO:
             self.table = Table()
         table = self.table
-        new = list(set(bodies) - table.keys())
+        new = list(set(bodies).difference(table.rows))
         short = [w for w in new if len(w) < LONG]
         if short:
             table.add(short, *self.segment([SPACE + w for w in short]))
@@ -375,7 +375,7 @@ class Segmenter:
             if len(w) >= LONG:
                 ids = self.word(SPACE + w)
                 table.add([w], np.array(ids, np.int32), np.array([len(ids)]))
-        rows = np.fromiter(map(table.__getitem__, bodies), np.int64, len(bodies))
+        rows = np.fromiter(map(table.rows.__getitem__, bodies), np.int64, len(bodies))
         return gather(table.starts, table.flat, rows)
 
     def words(self, s: str) -> np.ndarray:
@@ -586,6 +586,19 @@ def decode_ids(ids, v: Vocabulary) -> str:
     return data[1 if data[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
+CHUNKS = {"key": pa.string(), "no": pa.int32(), "s": pa.string(), "p": pa.int32(), "q": pa.int32(), "head": pa.bool_(), "tail": pa.bool_()}
+
+
+def ddl(kinds: dict[str, pa.DataType]) -> str:
+    names = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}
+    return ", ".join(f"{c} {names[k]}" for c, k in kinds.items())
+
+
+def columns(kinds: dict[str, pa.DataType], values) -> pa.RecordBatch:
+    """A batch of these columns; a value is an Arrow array or a sequence."""
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(values, kinds.values())], list(kinds))
+
+
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, token_ids, n_tokens, restored)``, a row for each input row;
     ``restored`` says that decoding gives the text."""
@@ -617,45 +630,48 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     short = rows.where(F.col("text").isNull() | (F.length("text") < chunk)).mapInArrow(whole, schema)
     giants = rows.where(F.length("text") >= chunk).withColumn("key", F.sha2("text", 256))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = sent.value.longest + 1
-        for f in frames:
-            for key, text in zip(f.key, f.text):
+        for b in batches:
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 s, out = normal(text), []
                 for k, p in enumerate(range(0, len(s), chunk)):
                     q = min(len(s), p + chunk)
                     lo = max(0, p - around)
                     out.append((key, k, s[lo : q + around], p - lo, q - lo, p == 0, q == len(s)))
-                yield pd.DataFrame(out, columns=["key", "no", "s", "p", "q", "head", "tail"])
+                yield columns(CHUNKS, zip(*out))
 
-    chunks = giants.select("key", "text").dropDuplicates(["key"]).mapInPandas(cut, "key string, no int, s string, p int, q int, head boolean, tail boolean")
+    chunks = giants.select("key", "text").dropDuplicates(["key"]).mapInArrow(cut, ddl(CHUNKS))
+    matrix = {"key": pa.string(), "no": pa.int32(), "rows": pa.int32(), "m": pa.binary()}
+    state = {"key": pa.string(), "no": pa.int32(), "i": pa.int32(), "j": pa.int32()}
+    traced = {"key": pa.string(), "no": pa.int32(), "ids": pa.list_(pa.int32())}
 
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(sent.value)
-        for f in frames:
-            ms = [seg.transfer(*x) for x in zip(f.s, f.p, f.q, f["head"], f["tail"])]
-            yield pd.DataFrame({"key": f.key, "no": f.no, "rows": [len(m) for m in ms], "m": [(m == 0).astype(np.uint8).tobytes() for m in ms]})
+        for b in batches:
+            ms = [seg.transfer(*x) for x in zip(*(b.column(c).to_pylist() for c in ("s", "p", "q", "head", "tail")))]
+            yield columns(matrix, [b.column("key"), b.column("no"), [len(m) for m in ms], [(m == 0).astype(np.uint8).tobytes() for m in ms]])
 
-    def fix(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("no")
-        ms = [np.where(np.frombuffer(m, np.uint8).reshape(n, -1), 0.0, LOW) for n, m in zip(f.rows, f.m)]
-        at = borders(ms)
-        return pd.DataFrame({"key": f.key, "no": f.no, "i": [i for i, _ in at], "j": [j for _, j in at]})
+    def fix(group: pa.Table) -> pa.Table:
+        group = group.sort_by("no").combine_chunks()
+        ms = [np.where(np.frombuffer(m, np.uint8).reshape(n, -1), 0.0, LOW) for n, m in zip(group["rows"].to_pylist(), group["m"].to_pylist())]
+        i, j = zip(*borders(ms))
+        return pa.table({"key": group["key"], "no": group["no"], "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32())})
 
-    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(sent.value)
-        for f in frames:
-            ids = [np.frombuffer(seg.backtrace(*x), np.int32) for x in zip(f.s, f.p, f.q, f["head"], f["tail"], f.i, f.j)]
-            yield pd.DataFrame({"key": f.key, "no": f.no, "ids": ids})
+        for b in batches:
+            ids = [np.frombuffer(seg.backtrace(*x), np.int32) for x in zip(*(b.column(c).to_pylist() for c in ("s", "p", "q", "head", "tail", "i", "j")))]
+            yield columns(traced, [b.column("key"), b.column("no"), list_array(ids, pa.int32())])
 
-    known = chunks.mapInPandas(matrices, "key string, no int, rows int, m binary").groupBy("key").applyInPandas(fix, "key string, no int, i int, j int")
-    parts = chunks.join(known, ["key", "no"]).mapInPandas(trace, "key string, no int, ids array<int>")
+    known = chunks.mapInArrow(matrices, ddl(matrix)).groupBy("key").applyInArrow(fix, ddl(state))
+    parts = chunks.join(known, ["key", "no"]).mapInArrow(trace, ddl(traced))
     ids = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts")).select("key", F.flatten(F.col("parts.ids")).alias("token_ids"))
 
-    @F.pandas_udf("boolean")
-    def restored(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        v = sent.value
-        return pd.Series([decode_ids(x, v) == t.replace(SPACE, " ") for x, t in zip(ids, texts)])
+    @F.arrow_udf("boolean")
+    def restored(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        v, at, flat = sent.value, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        return pa.array([decode_ids(flat[a:e], v) == t.replace(SPACE, " ") for a, e, t in zip(at, at[1:], texts.to_pylist())], pa.bool_())
 
     long = giants.join(ids, "key").select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), restored("token_ids", "text").alias("restored"))
     return short.unionByName(long)
@@ -667,10 +683,10 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     spark = tuned(encoded.sparkSession)
     sent = spark.sparkContext.broadcast(Vocabulary(model))
 
-    @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        v = sent.value
-        return pd.Series([None if x is None else decode_ids(x, v) for x in ids], dtype=object)
+    @F.arrow_udf("string")
+    def run(ids: pa.Array) -> pa.Array:
+        v, at, flat = sent.value, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        return pa.array([decode_ids(flat[a:e], v) if x.is_valid else None for a, e, x in zip(at, at[1:], ids)], pa.string())
 
     return encoded.select("doc_id", run("token_ids").alias("text"))
 

@@ -26,7 +26,7 @@ import re
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,9 +139,11 @@ def secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
     require(docs, "doc_id", "text")
     tuned(docs.sparkSession)
 
-    @F.pandas_udf("array<struct<begin:int,finish:int,score:double>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"begin": b, "finish": e, "score": s} for b, e, s in scanner.find(t)] for t in texts])
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("finish", pa.int32()), ("score", pa.float64())]))
+
+    @F.arrow_udf("array<struct<begin:int,finish:int,score:double>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"begin": b, "finish": e, "score": s} for b, e, s in scanner.find(t)] for t in texts.to_pylist()], kind)
 
     found = docs.select("doc_id", run(F.col("text").cast("string")).alias("s"))
     return found.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.begin", "s.finish", "s.score")
@@ -152,9 +154,9 @@ def redacted(docs: DataFrame, scanner: Scanner, mask: str = MASK) -> DataFrame:
     require(docs, "text")
     tuned(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([scanner.redact(t, mask) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([scanner.redact(t, mask) for t in texts.to_pylist()], pa.string())
 
     out = docs.withColumn("text", run(F.col("text").cast("string")))
     if "n_chars" in docs.columns:

@@ -32,7 +32,8 @@ import math
 import re
 from itertools import product
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,9 +226,10 @@ def scored(docs: DataFrame, learnt: list[str], name: str) -> DataFrame:
     """``docs`` with a struct column of that name: score, worst, clauses."""
     scorer = Scorer(learnt)
 
-    @F.pandas_udf("score double, worst double, clauses int")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scorer.text(t) for t in texts], columns=["score", "worst", "clauses"])
+    @F.arrow_udf("struct<score:double,worst:double,clauses:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = np.array([scorer.text(t) for t in texts.to_pylist()], float).reshape(-1, 3)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32))], ["score", "worst", "clauses"])
 
     tuned(docs.sparkSession)
     return docs.withColumn(name, run(F.col("text").cast("string")))
