@@ -147,16 +147,25 @@ def _seeds(key: str, least: int):
     return run
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    require(benchmark, "item_id", "text")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
+
+
+def _fits(items: DataFrame, words: int) -> bool:
+    """Whether the items can be sent to the tasks: about four characters a word."""
+    return (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= 4 * words
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED, sent_words: int = SENT_WORDS) -> DataFrame:
     """``(doc_id, item_id, coverage, matched, tiles)`` of the items that texts
     cover by ``coverage`` at least."""
-    require(benchmark, "item_id", "text")
     if not 0 < coverage <= 1 or least < 1:
         raise ValueError("0 < coverage <= 1 and least >= 1")
     tuned(docs.sparkSession)
     texts = key_text(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= 4 * sent_words:
+    items = _items(benchmark)
+    if _fits(items, sent_words):
         known = Items([(r.item_id, r.text) for r in items.collect()], least)
         return texts.mapInArrow(_match_all(known, coverage), SCHEMA).distinct()
     a = texts.mapInArrow(_seeds("doc_id", least), "doc_id long, seed long")
@@ -172,10 +181,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     return pairs.mapInArrow(run, SCHEMA).distinct()
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    found = contamination(docs, benchmark, coverage, least).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["_leaked"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED, sent_words: int = SENT_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with their columns.
+
+    Each row is judged by its own text; rows with a null id or text stay.  Where
+    the items can be sent to the tasks, no row is shuffled.
+    """
+    require(docs, "doc_id", "text")
+    text = F.col("text").cast("string")
+    items = _items(benchmark)
+    if _fits(items, sent_words):
+        known = Items([(r.item_id, r.text) for r in items.collect()], least)
+
+        @F.arrow_udf("boolean")
+        def leaks(texts: pa.Array) -> pa.Array:
+            out = np.zeros(len(texts), bool)
+            for r, words in each_words(texts):
+                out[r] = next(known.match(words, coverage), None) is not None
+            return pa.array(out)
+
+        tuned(docs.sparkSession)
+        return docs.where(F.col("doc_id").isNull() | ~leaks(text))
+    same = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).where("text IS NOT NULL")
+    found = contamination(same, benchmark, coverage, least, sent_words).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, docs["doc_id"].isNotNull() & docs["text"].isNotNull() & (F.xxhash64(docs["text"].cast("string")) == found["_leaked"]), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,7 @@ def test_odd_documents(spark):
     for sent in (10**6, 0):
         got = {(r.doc_id, r.item_id) for r in D.contamination(docs, b, sent_words=sent).collect()}
         assert got == {(1, 1), (2, 1), (8, 5), (6, 6)}
+    assert sorted(map(str, D.decontaminated(docs, b).collect())) == sorted(map(str, D.decontaminated(docs, b, sent_words=0).collect()))
     kept = D.decontaminated(docs, b)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 4, 5, 7, 9]
     assert D.contamination(docs.limit(0), b).count() == 0 and D.contamination(docs, b.limit(0)).count() == 0
