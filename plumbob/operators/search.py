@@ -83,8 +83,11 @@ def _best(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, v: np.ndarray, k: in
     for i in range(0, len(ids), QUERY_BLOCK):
         s = _scores(q[i : i + QUERY_BLOCK], v, metric)
         cut = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(s), -np.inf)
-        a, b = np.nonzero(s >= cut[:, None] - 1e-12)
-        parts.append(pd.DataFrame({"query_id": ids[i + a], "doc_id": keys[b], "score": (-s if metric is Metric.L2 else s)[a, b]}))
+        # distances from products lose digits: take what is near, then measure it
+        slack = 1e-6 * (1 + np.abs(cut)) if metric is Metric.L2 and k < s.shape[1] else 1e-12
+        a, b = np.nonzero(s >= (cut - slack)[:, None])
+        score = np.linalg.norm(q[i + a] - v[b], axis=1) if metric is Metric.L2 else s[a, b]
+        parts.append(pd.DataFrame({"query_id": ids[i + a], "doc_id": keys[b], "score": score}))
     return pd.concat(parts)
 
 
@@ -94,7 +97,7 @@ def _matrix(vectors) -> np.ndarray:
 
 def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of the k closest to each query; ties
-    by doc_id.
+    by doc_id.  Vectors that are null or of another length are left out.
 
     Few queries are sent to the vectors, and each batch of vectors gives its
     own k best.  Otherwise queries and vectors are cut into blocks and each
@@ -103,10 +106,12 @@ def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | st
     """
     checked_k(k)
     metric = Metric.of(metric)
-    v = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), F.col(vector).alias("v"))
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("query_id"), F.col(vector).alias("q"))
+    size = q.agg(F.count("*").alias("n"), F.min(F.size("q")).alias("low"), F.max(F.size("q")).alias("d")).first()
+    if size.low != size.d:
+        raise ValidationError(f"queries of dimensions {size.low} to {size.d}")
+    v = docs.where(F.size(vector) == (size.d or 0)).select(F.col(key).alias("doc_id"), F.col(vector).alias("v"))
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {v.schema['doc_id'].dataType.simpleString()}, score double"
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
     if (size.n or 0) * (size.d or 0) <= SENT_NUMBERS:
         sent = q.toPandas()
         ids, matrix = sent.query_id.to_numpy(), _matrix(sent.q) if len(sent) else np.zeros((0, 1))

@@ -71,6 +71,17 @@ def test_batch_is_the_single_search(spark, monkeypatch, metric, sent):
         assert [got[i, r] for r in range(1, 5)] == [r.doc_id for r in search.top_k(d, x[i], 4, metric, "doc_id").collect()]
 
 
+def test_batch_of_odd_rows(spark):
+    d = docs(spark, [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 1e-9])])
+    q = docs(spark, [(7, [1.0, 0.0])]).withColumnRenamed("doc_id", "query_id")
+    got = [(r.doc_id, r.score) for r in search.top_k_batch(d, q, 3, "l2", "doc_id").orderBy("rank").collect()]
+    assert got == [(1, 0.0), (5, 1e-9), (4, 1.0)]
+    assert search.top_k_batch(d.limit(0), q, 3, "cosine", "doc_id").count() == 0
+    assert search.top_k_batch(d, q.limit(0), 3, "cosine", "doc_id").count() == 0
+    with pytest.raises(ValidationError):
+        search.top_k_batch(d, q.union(spark.createDataFrame([(8, [1.0])], q.schema)), 3, "l2", "doc_id")
+
+
 def test_recall_on_clusters(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 24))
