@@ -8,6 +8,7 @@ characters of the lower-cased text.  Word and n-gram hashes are 64-bit.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; it bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 19) - 1
 #: Rows and bytes handed to a Python worker at once, at most (or one row).
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
@@ -198,6 +199,15 @@ def one_text_words(text: str | None) -> np.ndarray:
     return next(each_words(pa.array([text or ""])))[1]
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the machine, at a task's end."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list array of numpy arrays."""
     offsets = np.zeros(len(parts) + 1, np.int32)

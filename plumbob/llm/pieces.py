@@ -32,6 +32,7 @@ restores every text but for U+2581 itself, which becomes a space.
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm.common import list_array, require, slices, table, tuned
+from plumbob.llm.common import list_array, require, slices, table, trim, tuned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -170,7 +171,7 @@ class Segmenter:
         """Whether BPE leaves ``a`` and ``b`` as two pieces."""
         if (known := self.pairs.get((a, b))) is not None:
             return known
-        if len(self.pairs) > MEMO:
+        if len(self.pairs) > MEMO // 4:
             self.pairs.clear()
         ok = self.pairs[a, b] = self._compatible(a, b)
         return ok
@@ -558,9 +559,23 @@ def borders(ms: list[np.ndarray]) -> list[tuple[int, int]]:
 _segmenters: dict[str, Segmenter] = {}
 
 
-def segmenter(v: Vocabulary) -> Segmenter:
-    """This process's segmenter of a vocabulary; its memos outlive a task."""
-    return _segmenters.setdefault(v.key, Segmenter(v))
+class Sent:
+    """A vocabulary on its way to the tasks: pickled, so that a process unpacks
+    it once however many jobs send it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        v = Vocabulary(path)
+        self.key, self.packed = v.key, spark.sparkContext.broadcast(pickle.dumps(v))
+
+    def segmenter(self) -> Segmenter:
+        """This process's segmenter; its memos outlive a task."""
+        if self.key not in _segmenters:
+            _segmenters[self.key] = Segmenter(pickle.loads(self.packed.value))
+        return _segmenters[self.key]
+
+    @property
+    def vocabulary(self) -> Vocabulary:
+        return self.segmenter().v
 
 
 def encode_by_chunks(text: str, seg: Segmenter, chunk: int = CHUNK) -> array:
@@ -604,13 +619,13 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     ``restored`` says that decoding gives the text."""
     require(docs, "doc_id", "text")
     spark = tuned(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(Vocabulary(model))
+    sent = Sent(spark, model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, token_ids array<int>, n_tokens int, restored boolean"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        seg = segmenter(v)
+        seg = sent.segmenter()
+        v = seg.v
         for b in batches:
             if not b.num_rows:
                 continue
@@ -626,12 +641,13 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
                 same = [t is None or data[a + 1 : e] == t.replace(SPACE, " ").encode() for t, a, e in zip(texts, ends, ends[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes.astype(np.int32), mask=null), pa.array(np.array(same), mask=null)], ["doc_id", "token_ids", "n_tokens", "restored"])
+        trim()
 
     short = rows.where(F.col("text").isNull() | (F.length("text") < chunk)).mapInArrow(whole, schema)
     giants = rows.where(F.length("text") >= chunk).withColumn("key", F.sha2("text", 256))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        around = sent.value.longest + 1
+        around = sent.vocabulary.longest + 1
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 s, out = normal(text), []
@@ -647,7 +663,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     traced = {"key": pa.string(), "no": pa.int32(), "ids": pa.list_(pa.int32())}
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = segmenter(sent.value)
+        seg = sent.segmenter()
         for b in batches:
             ms = [seg.transfer(*x) for x in zip(*(b.column(c).to_pylist() for c in ("s", "p", "q", "head", "tail")))]
             yield columns(matrix, [b.column("key"), b.column("no"), [len(m) for m in ms], [(m == 0).astype(np.uint8).tobytes() for m in ms]])
@@ -659,10 +675,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         return pa.table({"key": group["key"], "no": group["no"], "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32())})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = segmenter(sent.value)
+        seg = sent.segmenter()
         for b in batches:
             ids = [np.frombuffer(seg.backtrace(*x), np.int32) for x in zip(*(b.column(c).to_pylist() for c in ("s", "p", "q", "head", "tail", "i", "j")))]
             yield columns(traced, [b.column("key"), b.column("no"), list_array(ids, pa.int32())])
+        trim()
 
     known = chunks.mapInArrow(matrices, ddl(matrix)).groupBy("key").applyInArrow(fix, ddl(state))
     parts = chunks.join(known, ["key", "no"]).mapInArrow(trace, ddl(traced))
@@ -670,7 +687,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
     @F.arrow_udf("boolean")
     def restored(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        v, at, flat = sent.value, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        v, at, flat = sent.vocabulary, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
         return pa.array([decode_ids(flat[a:e], v) == t.replace(SPACE, " ") for a, e, t in zip(at, at[1:], texts.to_pylist())], pa.bool_())
 
     long = giants.join(ids, "key").select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), restored("token_ids", "text").alias("restored"))
@@ -681,11 +698,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``(doc_id, text)`` of ``(doc_id, token_ids)``; null ids give null."""
     require(encoded, "doc_id", "token_ids")
     spark = tuned(encoded.sparkSession)
-    sent = spark.sparkContext.broadcast(Vocabulary(model))
+    sent = Sent(spark, model)
 
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
-        v, at, flat = sent.value, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        v, at, flat = sent.vocabulary, ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
         return pa.array([decode_ids(flat[a:e], v) if x.is_valid else None for a, e, x in zip(at, at[1:], ids)], pa.string())
 
     return encoded.select("doc_id", run("token_ids").alias("text"))

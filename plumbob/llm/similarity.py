@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbob.llm.common import components, each_words, gram_set, key_text, mix, shared_dir, tuned
+from plumbob.llm.common import components, each_words, gram_set, key_text, mix, shared_dir, trim, tuned
 
 #: (set) -> its signatures
 Signer = Callable[[np.ndarray], np.ndarray]
@@ -83,6 +83,7 @@ def _signatures(n: int, sign: Signer):
                     owners.clear()
             if held:
                 yield rows()
+        trim()
 
     return run
 
