@@ -121,7 +121,8 @@ def blocks(docs: DataFrame, n: int, sign: Signer) -> DataFrame:
     """``(block, set_id)``: any two sets that share a signature share a block."""
     rows = key_text(docs).mapInArrow(_signatures(n, sign), "sig long, set_id long")
     by_sig = rows.repartition("sig").sortWithinPartitions("sig", "set_id")
-    links = by_sig.mapInArrow(_links, "block long, set_id long").distinct()
+    # written once, as it is read three times: it is far smaller than the signatures
+    links = by_sig.mapInArrow(_links, "block long, set_id long").distinct().checkpoint()
     # Move each block to the least block that one of its members is also in.
     least = links.groupBy("set_id").agg(F.min("block").alias("m"))
     to = links.join(least, "set_id").groupBy("block").agg(F.min("m").alias("to"))
