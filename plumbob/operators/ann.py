@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +45,25 @@ def preset(name: str, kind: dict):
     return kind[name]
 
 
+def _paired(metric: Metric):
+    """Scores of two columns of vectors of one length, a batch at once."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1) for c in (a, b))
+        if metric is Metric.L2:
+            return pa.array(np.sqrt(((x - y) ** 2).sum(1)))
+        dot = (x * y).sum(1)
+        if metric is Metric.COSINE:
+            scale = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            dot = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+        return pa.array(dot)
+
+    return run
+
+
 def _reranked(near: DataFrame, k: int, metric: Metric) -> DataFrame:
-    rows = near.withColumn("score", metric.score("q", "v"))
+    rows = near.where(F.size("q") == F.size("v")).withColumn("score", _paired(metric)("q", "v"))
     order = F.asc("score") if metric.ascending else F.desc("score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, F.asc("doc_id")))
     return rows.select("query_id", "doc_id", "score").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
