@@ -1,11 +1,14 @@
 """Operator 4 - secret scans by character Markov models.
 
 A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/=_-`` of
-a text.  Two order-1 Markov models of characters, smoothed by ``ALPHA``, judge
+a text, or a stretch of such a run from one part between ``+/=_-`` to another,
+as secrets are joined to names and paths (``NAME=key``, ``path/key``).  Two order-1 Markov models of characters, smoothed by ``ALPHA``, judge
 it: one of random strings, one of ordinary identifiers.  The score is the
 log-likelihood ratio per character, in bits; a candidate is a secret if the
 score is above ``THRESHOLD`` and it holds both letters and digits (numbers
-alone, like card or phone numbers, are personal data and not secrets).
+alone, like card or phone numbers, are personal data and not secrets).  A whole
+run comes first, then what ``=`` leaves whole, then those stretches that
+together are likeliest random; no two overlap.
 
 Both models are trained here on labelled samples: generated random strings of
 the usual alphabets (hexadecimal, base 32, base 64, alphanumeric), and
@@ -41,6 +44,8 @@ MASK = "<SECRET>"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-]{%d,}" % SHORTEST)
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_SIDE, _PART = re.compile("[^=]+"), re.compile("[A-Za-z0-9]+")
+_DIGITS, _LETTERS = re.compile(".*[0-9]"), re.compile(".*[A-Za-z]")
 _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 
@@ -102,16 +107,62 @@ class Scanner:
         c = codes(s)
         return float(self.ratio[np.append(len(ALPHABET), c[:-1]), c].sum()) / len(c) if len(c) else 0.0
 
+    def whole(self, s: str) -> tuple[int, int, float] | None:
+        """``(begin, end, score)`` of ``s`` without its ends' signs, if it is a secret."""
+        core = s.strip("=-_/+")  # an assignment's sign or a rule isn't part of it
+        if len(core) >= SHORTEST and _DIGIT.search(core) and _LETTER.search(core):
+            if (x := self.score(core)) > self.threshold:
+                begin = s.index(core)
+                return begin, begin + len(core), x
+        return None
+
+    def stretches(self, s: str) -> list[tuple[int, int, float]]:
+        """The disjoint stretches of whole parts, secrets each, whose scores
+        above the threshold have the largest sum.  Exact, in one pass."""
+        c = codes(s)
+        above = np.append(0.0, np.cumsum(self.ratio[c[:-1], c[1:]] - self.threshold))  # at a character: the sum up to it
+        parts = [m.span() for m in _PART.finditer(s)]
+        best, back = [0.0], []  # of the first k parts: the sum, and the first part of the stretch that ends them
+        digit = letter = -1  # the last ones so far
+        open_, first, q = -np.inf, None, 0  # the best start among the first q parts
+        for k, (begin, end) in enumerate(parts):
+            if m := _DIGITS.match(s, begin, end):
+                digit = m.end() - 1
+            if m := _LETTERS.match(s, begin, end):
+                letter = m.end() - 1
+            while q <= k and parts[q][0] <= min(end - SHORTEST, digit, letter):
+                at = parts[q][0]
+                x = best[q] + self.ratio[len(ALPHABET), c[at]] - self.threshold - above[at]
+                if x > open_:
+                    open_, first = x, q
+                q += 1
+            x = open_ + above[end - 1]
+            back.append(first if x > best[-1] else None)
+            best.append(max(x, best[-1]))
+        out, k = [], len(parts)
+        while k:
+            i = back[k - 1]
+            if i is not None:
+                begin, end = parts[i][0], parts[k - 1][1]
+                out.append((begin, end, self.score(s[begin:end])))
+            k = k - 1 if i is None else i
+        return out[::-1]
+
     def find(self, text: str | None) -> list[tuple[int, int, float]]:
         """``(begin, end, score)`` of a text's secrets, in characters."""
         out = []
         for m in CANDIDATE.finditer(text or ""):
-            s = m.group()
-            core = s.strip("=-_/+")  # an assignment's sign or a rule isn't part of it
-            if len(core) >= SHORTEST and _DIGIT.search(core) and _LETTER.search(core):
-                if (x := self.score(core)) > self.threshold:
-                    begin = m.start() + s.index(core)
-                    out.append((begin, begin + len(core), round(x, 6)))
+            s, at = m.group(), m.start()
+            if not (_DIGIT.search(s) and _LETTER.search(s)):
+                continue
+            if x := self.whole(s):
+                found = [(at, x)]
+            else:
+                found = []
+                for side in _SIDE.finditer(s):
+                    x = self.whole(side.group()) if len(side.group()) < len(s) else None
+                    found += [(at + side.start(), y) for y in ([x] if x else self.stretches(side.group()))]
+            out += [(b + begin, b + end, round(x, 6)) for b, (begin, end, x) in found]
         return out
 
     def redact(self, text: str | None, mask: str = MASK) -> str | None:

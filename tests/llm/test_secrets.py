@@ -73,3 +73,40 @@ def test_odd_documents(spark):
     assert S.secrets(late, scanner).count() == 4
     row = S.redacted(late.where("doc_id = 2").limit(1), scanner).first()
     assert (row.text, row.n_chars) == (S.MASK, len(S.MASK))
+
+
+def test_secrets_joined_to_names_and_paths():
+    s, rng = S.Scanner(), random.Random(17)
+    alphanumeric, hexadecimal = string.ascii_letters + string.digits, "0123456789abcdef"
+    for before, after in (("database_connection_password=", ""), ("https://host.example/services/hooks/incoming/messages/", ""), ("/api/users/list/", "/settings/profile/view"), ("export-service-account-key_", "&next=customer_order_index")):
+        for alphabet, k in ((hexadecimal, 32), (alphanumeric, 24), (alphanumeric, 40)):
+            keys = ["".join(rng.choices(alphabet, k=k)) for _ in range(200)]
+            hit = sum(any(a <= len(before) and len(before) + k <= b for a, b, _ in s.find(before + key + after)) for key in keys)
+            assert hit / len(keys) > 0.9, (before, k, hit)
+    a, b = "9b0b3c6a43eb78aa99cbd7049c572391", "qX7mP2vR9sT4wZ1kL8nB3dF6"
+    assert s.redact(f"customer_connection_settings/{a}/remote_window_handler/{b}/default_export_table") == f"customer_connection_settings/{S.MASK}/remote_window_handler/{S.MASK}/default_export_table"
+    base64 = "Zm9/v3QxYkE+d2hK/0pTZ1V4UnA+bUw5"
+    assert s.redact(f"database_connection_password_of_customers={base64}==") == f"database_connection_password_of_customers={S.MASK}=="
+    names = ["/".join("_".join(rng.choices(["customer", "order", "index", "session", "handler", "remote", "config", "export", "window", "search"], k=3)) + str(rng.randint(1, 2024)) for _ in range(4)) for _ in range(400)]
+    assert sum(bool(s.find(x)) for x in names) / len(names) < 0.05
+
+
+def test_stretches_are_the_best_ones():
+    s, rng = S.Scanner(), random.Random(5)
+    pieces = ["order", "index", "remote", "v2", "2024", "a1b2c3d4e5f6", "9f8e7d6c5b4a3928", "Xk29qLpZ", "deadbeef01", "handler"]
+    for _ in range(200):
+        text = "".join(rng.choice(pieces) + rng.choice("/_-+") for _ in range(rng.randint(2, 6)))
+        parts = [m.span() for m in S._PART.finditer(text)]
+
+        def best(k):
+            options = [best(k - 1)] if k else [0.0]
+            for i in range(k):
+                core = text[parts[i][0] : parts[k - 1][1]]
+                if len(core) >= S.SHORTEST and any(c.isdigit() for c in core) and any(c.isalpha() for c in core) and s.score(core) > s.threshold:
+                    options.append(best(i) + (s.score(core) - s.threshold) * len(core))
+            return max(options)
+
+        found = s.stretches(text)
+        assert abs(sum((x - s.threshold) * (e - b) for b, e, x in found) - best(len(parts))) < 1e-9
+        assert all(x > s.threshold and e - b >= S.SHORTEST for b, e, x in found)
+    assert s.find("order-" * 100_000 + "v2") == []
