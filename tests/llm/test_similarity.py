@@ -59,6 +59,25 @@ def test_small_bands_are_exact(spark):
     assert pairs(ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows), 1, 0.8)) == brute(rows, 1, 0.8)
 
 
+def test_one_word_edits_of_short_texts(spark):
+    rng, rows = random.Random(21), []
+    for i in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(3 + i % 10)]
+        at, other = rng.randrange(len(words)), f"x{i}"
+        edited = (words + [other], words[:-1] + [other], words[1:], words[:at] + [other] + words[at + 1 :])[rng.randrange(4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    want = brute(rows, 2, 0.7)
+    assert pairs(ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows))) == want and len(want) > 200
+
+
+def test_small_sets_share_a_signature():
+    rng, sign = np.random.default_rng(1), ngram_jaccard.signer(0.7)
+    for both, only_a, only_b in ((3, 0, 1), (4, 0, 1), (5, 0, 2), (5, 1, 1), (7, 0, 3), (12, 2, 3)):
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, both + only_a + only_b, dtype=np.uint64)
+            assert len(np.intersect1d(sign(x[: both + only_a]), sign(np.delete(x, np.s_[both : both + only_a]))))
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op6_fingerprints"])
 def test_sql(spark, name):
     assert compare.differences(spark, SF, registry.QUERIES[name], registry.ORACLE_SQL[name]) == ""
