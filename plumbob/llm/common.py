@@ -71,10 +71,12 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def key_text(docs: DataFrame) -> DataFrame:
-    """``(doc_id BIGINT, text STRING)`` without rows that lack either."""
+def key_text(docs: DataFrame, null_texts: bool = False) -> DataFrame:
+    """``(doc_id BIGINT, text STRING)`` without rows that lack either; with
+    ``null_texts``, without those that lack an id."""
     require(docs, "doc_id", "text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    return rows if null_texts else rows.where("text IS NOT NULL")
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -9,7 +9,9 @@ compared on whole sets, so the result has no false pairs.  At the threshold of
 
 Null ids and texts have no fingerprint; a text without words has a fingerprint
 of null values and is similar to nothing; texts of fewer than n words are one
-gram.  See ``similarity`` for repeated rows and the result's form.
+gram.  Very long texts are permuted whole, a thousand grams at a time.  Columns
+other than ``doc_id`` and ``text`` aren't read.  See ``similarity`` for the
+plan, the result's form, ties and repeated rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbob.llm.common import each_words, gram_set, key_text, list_array, mix, table, tuned
-from plumbob.llm.similarity import similar_pairs
+from plumbob.llm.similarity import linked, oracle, similar_classes
 
 N = 3
 THRESHOLD = 0.6
@@ -71,21 +73,18 @@ def fingerprints(docs: DataFrame, n: int = N, count: int = BANDS * ROWS, seed: i
 
 
 def fingerprint_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """``(ids_a, ids_b, jaccard)`` of texts whose n-gram sets are similar."""
-    return similar_pairs(docs, n, threshold, signer(bands, rows, seed))
+    """``(doc_id, class_id, links)`` of all documents; see ``similarity.linked``."""
+    return linked(docs, n, threshold, signer(bands, rows, seed))
+
+
+def fingerprint_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The join as pairs between classes of equal sets, and their members; see
+    ``similarity.similar_classes``."""
+    return similar_classes(docs, n, threshold, signer(bands, rows, seed))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_join(table(spark, sf_dir, "documents"))
 
 
-ORACLE = """
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\\x{80}-\\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-s AS (SELECT doc_id, CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_sort(list_distinct(list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END AS gs FROM w WHERE len(ws) > 0),
-g AS (SELECT gs, list_sort(list(DISTINCT doc_id)) AS ids, min(doc_id) AS rep, len(gs) AS n FROM s GROUP BY gs),
-f AS (SELECT rep, n, unnest(gs) AS x FROM g),
-i AS (SELECT a.rep AS ra, b.rep AS rb, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.rep < b.rep AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) - 0.000001 GROUP BY 1, 2)
-SELECT ids AS ids_a, ids AS ids_b, CAST(1 AS DOUBLE) AS jaccard FROM g WHERE len(ids) > 1
-UNION ALL
-SELECT a.ids, b.ids, CAST(c AS DOUBLE) / CAST(a.n + b.n - c AS DOUBLE) FROM i JOIN g a ON i.ra = a.rep JOIN g b ON i.rb = b.rep WHERE CAST(c AS DOUBLE) / CAST(a.n + b.n - c AS DOUBLE) >= 0.6
-"""
+ORACLE = oracle("CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_sort(list_distinct(list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END", THRESHOLD)

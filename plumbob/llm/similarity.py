@@ -1,19 +1,29 @@
-"""Set-similarity joins: signatures nominate documents, whole sets are compared.
+"""Set-similarity joins: signatures nominate sets, whole sets are compared.
 
 Both joins of this package (PartEnum and MinHash) run the same plan:
 
 1. every text becomes its set of n-gram hashes; texts with equal sets form one
-   *group*, known by its smallest ``doc_id``, so exact copies cost one row each;
+   *class*, known by ``set_id`` and represented by its smallest ``doc_id``, so
+   exact copies cost 16 bytes each and no more work;
 2. a function gives each set its signatures; rows ``(signature, set)`` are
    shuffled and sorted by signature, and each set of a bucket is linked to the
-   bucket's smallest member.  A bucket of m sets gives m rows, not m*m;
+   bucket's smallest member.  A bucket of m sets gives m rows, not m*m.  A task
+   signs a set that it meets again only once;
 3. linked sets meet in *blocks*.  Blocks whose members are also in another
-   block are moved to it, so that a cluster's sets travel about once;
-4. in a block all pairs of fitting sizes are compared exactly.
-
-Rows whose ``doc_id`` or text is null take no part.  Texts without words have
-an empty set, which is similar to nothing.  A repeated ``doc_id`` counts once
-with each of its different texts.
+   block are moved to it, so that a cluster's sets travel about once.  A block
+   of more than ``PART_SETS`` sets or ``PART_GRAMS`` n-grams is cut into parts,
+   and each pair of parts meets in a task of its own;
+4. in a block all pairs of fitting sizes are compared exactly.  A pair that
+   meets in several blocks counts in the least of them only, so counts need no
+   list of pairs: a task gives a row for each set.
+
+Nothing is dropped on the way: no cap on buckets, blocks or partners.
+
+Rows whose ``doc_id`` or text is null take no part; texts without words have an
+empty set, which is similar to nothing.  Very long texts are whole sets like
+others.  A repeated row counts once; a ``doc_id`` that comes with different
+texts counts once with each of its sets.  Only ``doc_id`` and ``text`` are read,
+so columns of any other name don't matter.  An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +39,8 @@ from plumbob.llm.common import components, each_words, gram_set, key_text, mix,
 
 #: (set) -> its signatures
 Signer = Callable[[np.ndarray], np.ndarray]
+#: Sets and n-grams of a part of a block; a task compares two parts at most.
+PART_SETS, PART_GRAMS = 2000, 4_000_000
 #: Up to so many documents the list of those to compare is sent to the tasks
 #: that scan the texts (8 bytes each); beyond it a shuffled semi-join finds them.
 SENT_IDS = 2_000_000
@@ -42,25 +54,32 @@ def set_id(grams: np.ndarray) -> int:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets = [], []
-            keys = b.column("doc_id").to_numpy(zero_copy_only=False)
+            sets, size = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int32)
             for r, words in each_words(b.column("text")):
                 if len(words):
-                    ids.append(keys[r])
-                    sets.append(set_id(gram_set(words, n)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(ids, pa.int64())], ["set_id", "doc_id"])
+                    grams = gram_set(words, n)
+                    sets[r], size[r] = set_id(grams), len(grams)
+            yield pa.RecordBatch.from_arrays([pa.array(sets, mask=size == 0), b.column("doc_id"), pa.array(size)], ["set_id", "doc_id", "size"])
 
     return run
 
 
-def groups(docs: DataFrame, n: int) -> DataFrame:
-    """``(set_id, rep, ids)``: documents of equal sets; ``ids`` is sorted."""
-    found = key_text(docs).mapInArrow(_sets(n), "set_id long, doc_id long")
-    return found.groupBy("set_id").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).select("set_id", F.col("ids")[0].alias("rep"), "ids")
+def membership(docs: DataFrame, n: int) -> DataFrame:
+    """``(set_id, doc_id, size)`` of the documents with an id, without
+    repetition; ``set_id`` is null where there is no text or no word."""
+    texts = key_text(docs, True)
+    return texts.mapInArrow(_sets(n), "set_id long, doc_id long, size int").distinct()
+
+
+def classes(member: DataFrame) -> DataFrame:
+    """``(set_id, rep, weight, size)``: a class's smallest id, number of
+    documents and number of n-grams."""
+    return member.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("size").alias("size"))
 
 
 def _signatures(n: int, sign: Signer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int] = set()  # this task's; the same set of another task only repeats rows
         for b in batches:
             sigs, owners, held = [], [], 0
 
@@ -71,10 +90,14 @@ def _signatures(n: int, sign: Signer):
                 if not len(words):
                     continue
                 grams = gram_set(words, n)
+                own = set_id(grams)
+                if own in signed:
+                    continue
+                signed.add(own)
                 s = sign(grams)
                 if len(s):
                     sigs.append(s)
-                    owners.append(np.full(len(s), set_id(grams), np.int64))
+                    owners.append(np.full(len(s), own, np.int64))
                     held += len(s)
                 if held > 1 << 18:
                     yield rows()
@@ -92,7 +115,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted ``(sig, set_id)`` rows to ``(block, set_id)``: the block is the
     smallest set of the bucket.  A bucket may go on over many batches."""
     sig = low = None  # the bucket that is open: its signature and first set
-    alone = False  # whether the open bucket's first set isn't written yet
     for b in batches:
         if not b.num_rows:
             continue
@@ -101,7 +123,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[0] = sig is None or s[0] != sig
         np.not_equal(s[1:], s[:-1], out=new[1:])
         starts = np.flatnonzero(new)
-        head = np.empty(len(s), np.int64)
         if not new[0]:
             starts = np.concatenate([[0], starts])
         lengths = np.diff(np.append(starts, len(s)))
@@ -149,98 +170,183 @@ def _grams(n: int, wanted: np.ndarray | None):
     return run
 
 
-def compare(ids: np.ndarray, grams: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(grams: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs of sets of a Jaccard similarity of ``threshold`` at least:
-    positions and similarity.  Exact."""
-    size = np.array([len(g) for g in grams])
+    positions and similarity.  Exact.  With ``left``, a mask, only pairs of one
+    set in it and one outside."""
+    size = np.array([len(g) for g in grams], np.int64)
     order = np.argsort(size, kind="stable")
-    size = size[order]
-    flat = np.concatenate([grams[i] for i in order])
-    _, feature = np.unique(flat, return_inverse=True)
-    at = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(int(feature.max()) + 1, np.uint8)
+    rows = order if left is None else order[left[order]]
+    cols = order if left is None else order[~left[order]]
     a, b, j = [], [], []
-    for i in range(len(order) - 1):
-        end = int(np.searchsorted(size, size[i] / threshold + 1e-9, side="right"))
-        if end <= i + 1:
-            continue
-        own = feature[at[i] : at[i + 1]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[feature[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1], dtype=np.int64)
-        mark[own] = 0
-        sim = shared / (size[i] + size[i + 1 : end] - shared)
-        hit = np.flatnonzero(sim >= threshold)
-        if len(hit):
-            a.append(np.full(len(hit), order[i]))
-            b.append(order[i + 1 + hit])
-            j.append(sim[hit])
+    if len(rows) and len(cols):
+        flat = np.concatenate([grams[i] for i in cols])
+        known, feature = np.unique(flat, return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(size[cols])])
+        wide = size[cols]
+        mark = np.zeros(len(known), np.uint8)
+        for k, r in enumerate(rows):
+            begin = k + 1 if left is None else int(np.searchsorted(wide, size[r] * threshold - 1e-9))
+            end = int(np.searchsorted(wide, size[r] / threshold + 1e-9, side="right"))
+            if end <= begin:
+                continue
+            if left is None:
+                own = feature[at[k] : at[k + 1]]
+            else:
+                own = np.searchsorted(known, grams[r])
+                own = own[known[np.minimum(own, len(known) - 1)] == grams[r]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[feature[at[begin] : at[end]]], at[begin:end] - at[begin], dtype=np.int64)
+            mark[own] = 0
+            sim = shared / (size[r] + wide[begin:end] - shared)
+            hit = np.flatnonzero(sim >= threshold)
+            if len(hit):
+                a.append(np.full(len(hit), r))
+                b.append(cols[begin + hit])
+                j.append(sim[hit])
     if not a:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
     return np.concatenate(a), np.concatenate(b), np.concatenate(j)
 
 
-def _verify(threshold: float, forest: bool):
+def _forest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least position that each one of ``count`` is connected with."""
+    root = np.arange(count)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _found(group: pa.Table, threshold: float):
+    """Of a block, or of a pair of its parts: set ids, representatives, weights,
+    and the similar pairs by position with which of them are this block's to
+    count."""
+    sets, first = np.unique(group.column("set_id").to_numpy(), return_index=True)
+    group = group.take(pa.array(first))
+    reps, weights = group.column("rep").to_numpy(), group.column("weight").to_numpy()
+    grams = [np.frombuffer(d, np.uint64) for d in group.column("grams").to_pylist()]
+    part = group.column("part").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    none = np.zeros(0, np.int64)
+    if len(sets) < 2:
+        return sets, reps, weights, none, none, np.zeros(0), np.zeros(0, bool)
+    a, b, sim = compare(grams, threshold, None if i == j else part == i)
+    block, several = group.column("block")[0].as_py(), group.column("blocks").to_pylist()
+    many = np.array([len(x) > 1 for x in several])
+    own = np.ones(len(a), bool)
+    held = {}
+    for k in np.flatnonzero(many[a] & many[b]).tolist():  # else this block is all that they share
+        x, y = (held.get(p) or held.setdefault(p, frozenset(several[p])) for p in (int(a[k]), int(b[k])))
+        own[k] = min(x & y) == block
+    return sets, reps, weights, a, b, sim, own
+
+
+def _counted(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        sets, reps, weights, a, b, _, own = _found(group, threshold)
+        links = np.zeros(len(sets), np.int64)
+        np.add.at(links, a[own], weights[b[own]])
+        np.add.at(links, b[own], weights[a[own]])
+        root = _forest(len(sets), a, b)
+        keep = np.flatnonzero((links > 0) | (root != np.arange(len(sets))))
+        # of the tree's edges both ends are sets, whose order is that of positions
+        return pa.table({"set_id": pa.array(sets[keep]), "rep": pa.array(reps[keep]), "links": pa.array(links[keep]), "to": pa.array(reps[root[keep]])})
+
+    return run
+
+
+def _paired(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_numpy()
-        ids, first = np.unique(ids, return_index=True)
-        data = group.column("grams").take(pa.array(first)).to_pylist()
-        a, b, j = compare(ids, [np.frombuffer(d, np.uint64) for d in data], threshold) if len(ids) > 1 else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        if forest and len(a):  # what connects the same documents, in fewer rows
-            root = np.arange(len(ids))
-            while True:
-                new = root.copy()
-                np.minimum.at(new, a, root[b])
-                np.minimum.at(new, b, root[a])
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            b = np.flatnonzero(root != np.arange(len(ids)))
-            a, j = root[b], np.zeros(len(b))
-        x, y = ids[a], ids[b]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64()), "jaccard": pa.array(j, pa.float64())})
+        sets, reps, _, a, b, sim, own = _found(group, threshold)
+        a, b, sim = a[own], b[own], sim[own]
+        swap = reps[a] > reps[b]
+        x, y = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.table({"set_a": pa.array(sets[x], pa.int64()), "set_b": pa.array(sets[y], pa.int64()), "a": pa.array(reps[x], pa.int64()), "b": pa.array(reps[y], pa.int64()), "jaccard": pa.array(sim, pa.float64())})
 
     return run
 
 
-def _linked(docs: DataFrame, known: DataFrame, n: int, threshold: float, sign: Signer, forest: bool) -> DataFrame:
-    """``(a, b, jaccard)`` of group representatives, a < b."""
+def _met(docs: DataFrame, known: DataFrame, n: int, sign: Signer) -> DataFrame:
+    """A row for each set of each block, or of each pair of parts of a block:
+    ``(block, i, j, part, blocks, set_id, rep, weight, grams)``."""
     spark = tuned(docs.sparkSession)
     shared_dir(spark)
-    member = blocks(docs, n, sign).join(known.select("set_id", "rep"), "set_id").select("block", F.col("rep").alias("doc_id"), "set_id").checkpoint()
-    ids = member.select("doc_id").distinct()
+    place = blocks(docs, n, sign).checkpoint()
+    several = place.groupBy("set_id").agg(F.collect_list("block").alias("blocks"))
+    rows = place.join(several, "set_id").join(known, "set_id")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(PART_SETS)), F.ceil(F.sum("size") / F.lit(PART_GRAMS))).cast("int").alias("cut")
+    rows = rows.join(rows.groupBy("block").agg(parts).where("cut > 1"), "block", "left")
+    parts = F.coalesce("cut", F.lit(1))
+    rows = rows.select("block", "set_id", "rep", "weight", "blocks", parts.alias("parts"), F.pmod(F.xxhash64("set_id"), parts.cast("long")).cast("int").alias("part"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))))
+    member = rows.withColumn("m", meets).select("block", "m.i", "m.j", "part", "blocks", "set_id", "rep", "weight").checkpoint()
+    ids = member.select("rep").distinct()
     texts = key_text(docs)
     if ids.count() <= SENT_IDS:
-        wanted = np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
+        wanted = np.sort(ids.toPandas()["rep"].to_numpy(np.int64))
     else:
-        wanted, texts = None, texts.join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_grams(n, wanted), "doc_id long, set_id long, grams binary")
-    pairs = member.join(sets, ["doc_id", "set_id"]).select("block", "doc_id", "grams").groupBy("block").applyInArrow(_verify(threshold, forest), "a long, b long, jaccard double")
-    return pairs.distinct()
+        wanted, texts = None, texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_grams(n, wanted), "rep long, set_id long, grams binary")
+    return member.join(sets, ["rep", "set_id"]).select("block", "i", "j", "part", "blocks", "set_id", "rep", "weight", "grams")
 
 
-def similar_pairs(docs: DataFrame, n: int, threshold: float, sign: Signer) -> DataFrame:
-    """``(ids_a, ids_b, jaccard)``: the join's result, factorised by equal sets.
+def similar_classes(docs: DataFrame, n: int, threshold: float, sign: Signer) -> tuple[DataFrame, DataFrame]:
+    """The join as pairs between classes, and what belongs to them:
+    ``(set_a, set_b, a, b, jaccard)`` with the representatives a < b, and
+    ``(set_id, doc_id, size)``.  Documents of one class have equal sets."""
+    shared_dir(docs.sparkSession)
+    member = membership(docs, n).checkpoint()
+    known = classes(member).checkpoint()
+    found = _met(docs, known, n, sign).groupBy("block", "i", "j").applyInArrow(_paired(threshold), "set_a long, set_b long, a long, b long, jaccard double")
+    return found, member
 
-    A row says that each document of ``ids_a`` has this similarity with each of
-    ``ids_b``; where both lists are the same, that its documents have equal
-    sets.  A set held by one document only and similar to no other has no row.
+
+def linked(docs: DataFrame, n: int, threshold: float, sign: Signer) -> DataFrame:
+    """``(doc_id, class_id, links)``: a row for each document.
+
+    ``links`` counts the other documents of a Jaccard similarity of at least
+    ``threshold``, those of an equal set included.  ``class_id`` is the
+    smallest id of the documents that links connect with this one; a document
+    without links is its own class.  A document without words has no links.
     """
     shared_dir(docs.sparkSession)
-    known = groups(docs, n).checkpoint()
-    pairs = _linked(docs, known, n, threshold, sign, False)
-    a, b = (known.select(F.col("rep").alias(x), F.col("ids").alias(f"ids_{x}")) for x in "ab")
-    found = pairs.join(a, "a").join(b, "b").select("ids_a", "ids_b", "jaccard")
-    equal = known.where(F.size("ids") > 1).select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
-    return equal.union(found)
+    member = membership(docs, n).checkpoint()
+    known = classes(member).checkpoint()
+    found = _met(docs, known, n, sign).groupBy("block", "i", "j").applyInArrow(_counted(threshold), "set_id long, rep long, links long, to long").checkpoint()
+    tree = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    counts = found.groupBy("set_id").agg(F.sum("links").alias("links"))
+    result = known.join(counts, "set_id", "left").join(tree, known.rep == tree.node, "left")
+    result = result.where("links IS NOT NULL OR weight > 1").select("set_id", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    some = member.where("set_id IS NOT NULL").join(result, "set_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return some.union(member.where("set_id IS NULL").select("doc_id", "doc_id", F.lit(0).cast("long")))  # apart, as nulls would meet in one task
 
 
 def copies(docs: DataFrame, n: int, threshold: float, sign: Signer) -> DataFrame:
     """``doc_id`` of each document but the one with the smallest id of its
-    group; a group is what similar pairs connect."""
-    shared_dir(docs.sparkSession)
-    known = groups(docs, n).checkpoint()
-    tree = components(_linked(docs, known, n, threshold, sign, True).select("a", "b"))
-    labelled = known.join(tree, known.rep == tree.node, "left").select(F.explode("ids").alias("doc_id"), F.coalesce("root", "rep").alias("root"))
-    return labelled.groupBy("doc_id").agg(F.min("root").alias("root")).where("doc_id <> root").select("doc_id")
+    class (see ``linked``)."""
+    return linked(docs, n, threshold, sign).groupBy("doc_id").agg(F.min("class_id").alias("root")).where("doc_id <> root").select("doc_id")
+
+
+def oracle(grams: str, threshold: float) -> str:
+    """DuckDB SQL for the rows of ``linked``; ``grams`` makes the sorted list of
+    n-grams of the words ``ws``."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[0-9A-Za-z_\\x{{80}}-\\x{{10FFFF}}]+'), []) AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, {grams} AS gs FROM w),
+g AS (SELECT gs, min(doc_id) AS rep, count(*) AS weight, len(gs) AS n FROM s WHERE len(gs) > 0 GROUP BY gs),
+f AS (SELECT rep, n, weight, unnest(gs) AS x FROM g),
+i AS (SELECT a.rep AS ra, b.rep AS rb, a.n + b.n - count(*) AS u, count(*) AS c, any_value(b.weight) AS weight FROM f a JOIN f b ON a.x = b.x AND a.rep <> b.rep AND least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 0.000001 GROUP BY a.rep, b.rep, a.n, b.n),
+p AS (SELECT ra, rb, weight FROM i WHERE CAST(c AS DOUBLE) / CAST(u AS DOUBLE) >= {threshold}),
+r AS (SELECT rep AS x, rep AS y FROM g UNION SELECT r.x, p.rb FROM r JOIN p ON r.y = p.ra),
+root AS (SELECT x, min(y) AS root FROM r GROUP BY x),
+near AS (SELECT ra, sum(weight) AS near FROM p GROUP BY ra)
+SELECT s.doc_id, root.root AS class_id, CAST(g.weight - 1 + coalesce(near.near, 0) AS BIGINT) AS links FROM s JOIN g ON s.gs = g.gs JOIN root ON root.x = g.rep LEFT JOIN near ON near.ra = g.rep
+UNION ALL
+SELECT doc_id, doc_id, CAST(0 AS BIGINT) FROM s WHERE len(gs) = 0
+"""

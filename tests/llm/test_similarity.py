@@ -1,5 +1,6 @@
 """N-gram Jaccard join and fingerprints against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -34,29 +35,58 @@ def brute(rows, n, threshold):
     return {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
 
-def pairs(df):
-    out = {}
-    for r in df.collect():
-        for a in r.ids_a:
-            for b in r.ids_b:
-                if a != b:
-                    out[min(a, b), max(a, b)] = round(r.jaccard, 9)
+def pairs(found):
+    """Pairs of documents of (pairs between classes, membership)."""
+    between, member = found
+    ids = {}
+    for r in member.collect():
+        if r.set_id is not None:
+            ids.setdefault(r.set_id, []).append(r.doc_id)
+    out = {(x, y): 1.0 for m in ids.values() for x in m for y in m if x < y}
+    for r in between.collect():
+        assert r.a < r.b and min(ids[r.set_a]) == r.a and min(ids[r.set_b]) == r.b
+        for a in ids[r.set_a]:
+            for b in ids[r.set_b]:
+                assert (min(a, b), max(a, b)) not in out  # each once
+                out[min(a, b), max(a, b)] = round(r.jaccard, 9)
     return out
 
 
+def rows_of(want, ids):
+    """``(doc_id, class_id, links)`` by brute force, from the pairs."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in want:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    links = dict.fromkeys(ids, 0)
+    for p in want:
+        for i in p:
+            links[i] += 1
+    return {(i, find(i), links[i]) for i in ids}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_joins_against_brute_force(spark, seed):
     rows = corpus(seed)
     docs = odd.plain(spark, rows)
-    for join, n, t in ((ngram_jaccard.ngram_jaccard_join, 2, 0.7), (fingerprints.fingerprint_join, 3, 0.6)):
+    for join, rows_join, n, t in ((ngram_jaccard.ngram_jaccard_pairs, ngram_jaccard.ngram_jaccard_join, 2, 0.7), (fingerprints.fingerprint_pairs, fingerprints.fingerprint_join, 3, 0.6)):
         want, got = brute(rows, n, t), pairs(join(docs))
         assert got.items() <= want.items()
         assert len(got) >= 0.95 * len(want) > 20
+        assert {tuple(r) for r in rows_join(docs).collect()} == rows_of(got, [i for i, _ in rows])
 
 
 def test_small_bands_are_exact(spark):
     rows = corpus(5, 80, (3, 30))
-    assert pairs(ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows), 1, 0.8)) == brute(rows, 1, 0.8)
+    want = brute(rows, 1, 0.8)
+    assert pairs(ngram_jaccard.ngram_jaccard_pairs(odd.plain(spark, rows), 1, 0.8)) == want
+    assert {tuple(r) for r in ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows), 1, 0.8).collect()} == rows_of(want, [i for i, _ in rows])
 
 
 def test_one_word_edits_of_short_texts(spark):
@@ -67,13 +97,28 @@ def test_one_word_edits_of_short_texts(spark):
         edited = (words + [other], words[:-1] + [other], words[1:], words[:at] + [other] + words[at + 1 :])[rng.randrange(4)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
     want = brute(rows, 2, 0.7)
-    assert pairs(ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows))) == want and len(want) > 200
-
-
-def test_small_sets_share_a_signature():
-    rng, sign = np.random.default_rng(1), ngram_jaccard.signer(0.7)
-    for both, only_a, only_b in ((3, 0, 1), (4, 0, 1), (5, 0, 2), (5, 1, 1), (7, 0, 3), (12, 2, 3)):
-        for _ in range(300):
+    assert pairs(ngram_jaccard.ngram_jaccard_pairs(odd.plain(spark, rows))) == want and len(want) > 200
+
+
+def least_pairs(threshold, most):
+    """Sizes in common and alone of the pairs at the threshold, one for each
+    two sizes up to ``most``."""
+    for a in range(1, most + 1):
+        for b in range(a, most + 1):
+            both = math.ceil(threshold * (a + b) / (1 + threshold) - 1e-9)
+            exact = b <= ngram_jaccard.SMALL or ngram_jaccard.instance(ngram_jaccard.band_of(b, threshold), threshold)[1] == 3
+            if both <= a and (a, b) != (both, both) and exact:
+                yield both, a - both, b - both
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.7, 0.85])
+def test_sets_of_exact_bands_share_a_signature(threshold):
+    """Every kind of pair at the threshold, up to 40 features."""
+    rng, sign = np.random.default_rng(1), ngram_jaccard.signer(threshold)
+    kinds = list(least_pairs(threshold, 40))
+    assert len(kinds) > 60
+    for both, only_a, only_b in kinds:
+        for _ in range(40 if both <= 12 else 4):
             x = rng.integers(0, 1 << 63, both + only_a + only_b, dtype=np.uint64)
             assert len(np.intersect1d(sign(x[: both + only_a]), sign(np.delete(x, np.s_[both : both + only_a]))))
 
@@ -85,9 +130,10 @@ def test_sql(spark, name):
 
 def test_odd_documents(spark):
     docs = odd.documents(spark)
-    for join in (ngram_jaccard.ngram_jaccard_join, fingerprints.fingerprint_join):
-        assert pairs(join(docs)) == {(1, 2): 1.0}
-        assert join(docs.limit(0)).count() == 0
+    for join, between in ((ngram_jaccard.ngram_jaccard_join, ngram_jaccard.ngram_jaccard_pairs), (fingerprints.fingerprint_join, fingerprints.fingerprint_pairs)):
+        assert pairs(between(docs)) == {(1, 2): 1.0}
+        assert sorted(tuple(r) for r in join(docs).collect()) == [(1, 1, 1), (2, 1, 1), *((i, i, 0) for i in range(3, 10))]
+        assert join(docs.limit(0)).count() == 0 and pairs(between(docs.limit(0))) == {}
     assert [r.doc_id for r in ngram_jaccard.near_copies(docs).collect()] == [2]
     kept = ngram_jaccard.deduplicated(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
@@ -96,11 +142,30 @@ def test_odd_documents(spark):
     assert len(prints) == 9 and {len(r.fingerprint) for r in prints if r.doc_id not in (4, 5)} == {128}
 
 
-def test_shuffled_way_is_the_same(spark, monkeypatch):
-    docs = odd.plain(spark, corpus(3, 30))
-    want = pairs(ngram_jaccard.ngram_jaccard_join(docs))
+def test_one_id_with_several_texts(spark):
+    """Each of an id's texts has its own row and loses no link."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(20)) for c in "xyz")
+    rows = [(1, x), (1, y), (5, y), (9, x + " end"), (7, z), (5, y)]
+    got = sorted(tuple(r) for r in ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (5, 1, 1), (7, 7, 0), (9, 1, 1)]
+
+
+def test_shuffled_way_and_cut_blocks_are_the_same(spark, monkeypatch):
+    rows = corpus(3, 30)
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows += [(1000 + i, " ".join(w if k != i % 24 else f"v{i}" for k, w in enumerate(base))) for i in range(40)]
+    docs = odd.plain(spark, rows)
+    want = pairs(ngram_jaccard.ngram_jaccard_pairs(docs))
+    links = sorted(tuple(r) for r in ngram_jaccard.ngram_jaccard_join(docs).collect())
+    assert len(want) > 700
+    gone = sorted(r.doc_id for r in ngram_jaccard.deduplicated(docs).collect())
     monkeypatch.setattr(similarity, "SENT_IDS", 0)
-    assert pairs(ngram_jaccard.ngram_jaccard_join(docs)) == want
+    monkeypatch.setattr(ngram_jaccard, "SENT_IDS", 0)
+    monkeypatch.setattr(similarity, "PART_GRAMS", 90)
+    assert pairs(ngram_jaccard.ngram_jaccard_pairs(docs)) == want
+    monkeypatch.setattr(similarity, "PART_SETS", 7)
+    assert sorted(tuple(r) for r in ngram_jaccard.ngram_jaccard_join(docs).collect()) == links
+    assert sorted(r.doc_id for r in ngram_jaccard.deduplicated(docs).collect()) == gone
 
 
 def test_many_copies_leave_one(spark):
