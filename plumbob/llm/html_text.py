@@ -7,13 +7,21 @@ those of the blocks before and after it (0 at the page's ends).  A decision
 tree (CART, Gini) says which blocks are content.  It is trained here on
 ``LABELLED``, a small hand-labelled table of pages' blocks.
 
-Pages are scanned by one regular expression whose every step is bounded by the
-next ``<``, so the time is linear in a page's length, however broken it is.
-
-One row for each input row: a null page has null text and counts, an empty one
-(or one without content) empty text.  An unclosed comment or script lasts to
-the page's end; an unclosed link to the end of its block.  Entities are
-decoded and white space is a single space; blocks are joined by line ends.
+Pages are scanned by one regular expression that never goes back over what it
+has read, and whose every step in a tag is bounded by the next ``<``, so the
+time is linear in a page's length, however broken it is.  As in browsers quotes
+delimit an attribute's value after ``=`` only, so ``<a "x> y" z`` is a tag up to
+its ``>``; a value that holds ``<`` isn't taken for quoted.  What opens like a
+tag and isn't closed before the next ``<`` is text.
+
+One row for each input row, repeated ones too, in no order: a null page has
+null text and counts, an empty one (or one without content) empty text, a null
+``page_id`` stays null.  An unclosed comment or script lasts to the page's end;
+an unclosed link to the end of its block.  Entities are decoded and white space
+is a single space; blocks are joined by line ends.  Equal features are equally
+classified; pages are read whole, however long.  Columns other than
+``page_id`` and ``html`` aren't read, whatever their names; an empty table has
+no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +69,7 @@ _INLINE = "a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd
 _SCAN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|svg|title|iframe|select)\b.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-z][a-z0-9:-]*+)(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*?>"""
+    r"""|<(/?)([a-z][a-z0-9:-]*+)(?:[^<>=]++|=\s*+"[^"<]*+"|=\s*+'[^'<]*+'|=)*+>"""
     r"|<[!?][^<>]*>",
     re.S | re.I,
 )
