@@ -1,24 +1,28 @@
 """Operator 4 - secret scans by character Markov models.
 
 A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/=_-`` of
-a text, or a stretch of such a run from one part between ``+/=_-`` to another,
-as secrets are joined to names and paths (``NAME=key``, ``path/key``).  Two order-1 Markov models of characters, smoothed by ``ALPHA``, judge
-it: one of random strings, one of ordinary identifiers.  The score is the
-log-likelihood ratio per character, in bits; a candidate is a secret if the
-score is above ``THRESHOLD`` and it holds both letters and digits (numbers
-alone, like card or phone numbers, are personal data and not secrets).  A whole
-run comes first, then what ``=`` leaves whole, then those stretches that
-together are likeliest random; no two overlap.
+a text.  Secrets are joined to names and paths (``NAME=key``, ``path/key``), so
+it isn't judged as a whole: it is cut at ``=``, and of the parts that ``+/_-``
+leave, stretches of neighbouring ones are scored.  Two order-1 Markov models of
+characters, smoothed by ``ALPHA``, judge its parts: one of random strings, one
+of ordinary identifiers; signs between parts speak for neither.  The score is the log-likelihood ratio per character,
+in bits; a stretch of at least ``SHORTEST`` characters is a secret if its score
+is above ``THRESHOLD`` and it holds a letter (numbers alone, like card or phone
+numbers, are personal data and not secrets).  Of the disjoint secrets in a
+candidate those are found that together are likeliest random, exactly.
 
 Both models are trained here on labelled samples: generated random strings of
-the usual alphabets (hexadecimal, base 32, base 64, alphanumeric), and
-identifiers: names of Python's own modules in the usual spellings, and words
-of at most ``SAMPLE`` documents (those of the smallest hashes of their ids),
-joined with underscores, hyphens or capitals as identifiers are.
-
-Null and empty texts have no secrets; equal secrets at different places are
-different rows; rows with null ids are scanned like others; redaction keeps
-all rows and columns.
+the usual alphabets (hexadecimal, base 32, base 64, alphanumeric, letters), and
+identifiers: names of Python's own modules in the usual spellings, and the
+``WORDS`` most frequent words of two to twenty Latin letters of at most
+``SAMPLE`` documents (those of the smallest hashes of their ids), joined with
+underscores, hyphens or capitals as identifiers are.
+
+Null and empty texts have no secrets; texts are scanned whole, however long;
+equal secrets at different places are different rows, and repeated rows give
+theirs again; rows with null ids are scanned like others; of equally likely
+stretches the shorter ones are found.  Redaction keeps all rows and columns,
+whatever their names.  Without documents the models know Python's names only.
 """
 
 from __future__ import annotations
@@ -38,14 +42,14 @@ from plumbob.llm.common import require, table, tuned
 SHORTEST = 16
 THRESHOLD = 0.5
 ALPHA = 0.5
-SAMPLE = 1000
+SAMPLE, WORDS = 1000, 5000
 MASK = "<SECRET>"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
+SIGNS = ALPHABET.index("+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-]{%d,}" % SHORTEST)
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_LETTER, _LETTERS = re.compile("[A-Za-z]"), re.compile(".*[A-Za-z]")
 _SIDE, _PART = re.compile("[^=]+"), re.compile("[A-Za-z0-9]+")
-_DIGITS, _LETTERS = re.compile(".*[0-9]"), re.compile(".*[A-Za-z]")
 _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 
@@ -73,10 +77,10 @@ def codes(s: str) -> np.ndarray:
 
 def random_strings(count: int = 6000, seed: int = 7) -> list[str]:
     """Labelled sample of secrets: in turn hexadecimal, base 32, base 64,
-    URL-safe base 64 and alphanumeric."""
+    URL-safe base 64, alphanumeric, letters."""
     rng = random.Random(seed)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    kinds = ["0123456789abcdef", "0123456789abcdef", letters + "234567", letters + letters.lower() + "0123456789+/", letters + letters.lower() + "0123456789-_", letters + letters.lower() + "0123456789"]
+    kinds = ["0123456789abcdef", "0123456789abcdef", letters + "234567", letters + letters.lower() + "0123456789+/", letters + letters.lower() + "0123456789-_", letters + letters.lower() + "0123456789", letters.lower(), letters + letters.lower()]
     return ["".join(rng.choices(kinds[i % len(kinds)], k=rng.randint(16, 64))) for i in range(count)]
 
 
@@ -102,41 +106,37 @@ class Scanner:
         self.random, self.ordinary, self.threshold = Markov(random_strings()), Markov(identifiers(list(words))), threshold
         self.ratio = self.random.log - self.ordinary.log
 
-    def score(self, s: str) -> float:
-        """Bits per character by which ``s`` is likelier random."""
+    def ratios(self, s: str) -> np.ndarray:
+        """Bits by which each character is likelier random: in its part between
+        signs, as its first or after the one before it; a sign has none."""
         c = codes(s)
-        return float(self.ratio[np.append(len(ALPHABET), c[:-1]), c].sum()) / len(c) if len(c) else 0.0
+        before = np.append(len(ALPHABET), c[:-1])
+        sign = c >= SIGNS
+        before[np.append(True, sign[:-1])] = len(ALPHABET)
+        return np.where(sign, 0.0, self.ratio[before, c])
 
-    def whole(self, s: str) -> tuple[int, int, float] | None:
-        """``(begin, end, score)`` of ``s`` without its ends' signs, if it is a secret."""
-        core = s.strip("=-_/+")  # an assignment's sign or a rule isn't part of it
-        if len(core) >= SHORTEST and _DIGIT.search(core) and _LETTER.search(core):
-            if (x := self.score(core)) > self.threshold:
-                begin = s.index(core)
-                return begin, begin + len(core), x
-        return None
+    def score(self, s: str) -> float:
+        """Bits per character by which ``s`` is likelier random."""
+        return float(self.ratios(s).mean()) if s else 0.0
 
     def stretches(self, s: str) -> list[tuple[int, int, float]]:
         """The disjoint stretches of whole parts, secrets each, whose scores
         above the threshold have the largest sum.  Exact, in one pass."""
-        c = codes(s)
-        above = np.append(0.0, np.cumsum(self.ratio[c[:-1], c[1:]] - self.threshold))  # at a character: the sum up to it
+        total = np.append(0.0, np.cumsum(self.ratios(s)))  # before a character
+        above = total - self.threshold * np.arange(len(total))
         parts = [m.span() for m in _PART.finditer(s)]
         best, back = [0.0], []  # of the first k parts: the sum, and the first part of the stretch that ends them
-        digit = letter = -1  # the last ones so far
+        letter = -1  # the last one so far
         open_, first, q = -np.inf, None, 0  # the best start among the first q parts
         for k, (begin, end) in enumerate(parts):
-            if m := _DIGITS.match(s, begin, end):
-                digit = m.end() - 1
             if m := _LETTERS.match(s, begin, end):
                 letter = m.end() - 1
-            while q <= k and parts[q][0] <= min(end - SHORTEST, digit, letter):
-                at = parts[q][0]
-                x = best[q] + self.ratio[len(ALPHABET), c[at]] - self.threshold - above[at]
+            while q <= k and parts[q][0] <= min(end - SHORTEST, letter):
+                x = best[q] - above[parts[q][0]]
                 if x > open_:
                     open_, first = x, q
                 q += 1
-            x = open_ + above[end - 1]
+            x = open_ + above[end]
             back.append(first if x > best[-1] else None)
             best.append(max(x, best[-1]))
         out, k = [], len(parts)
@@ -144,7 +144,7 @@ class Scanner:
             i = back[k - 1]
             if i is not None:
                 begin, end = parts[i][0], parts[k - 1][1]
-                out.append((begin, end, self.score(s[begin:end])))
+                out.append((begin, end, float(total[end] - total[begin]) / (end - begin)))
             k = k - 1 if i is None else i
         return out[::-1]
 
@@ -152,17 +152,10 @@ class Scanner:
         """``(begin, end, score)`` of a text's secrets, in characters."""
         out = []
         for m in CANDIDATE.finditer(text or ""):
-            s, at = m.group(), m.start()
-            if not (_DIGIT.search(s) and _LETTER.search(s)):
-                continue
-            if x := self.whole(s):
-                found = [(at, x)]
-            else:
-                found = []
-                for side in _SIDE.finditer(s):
-                    x = self.whole(side.group()) if len(side.group()) < len(s) else None
-                    found += [(at + side.start(), y) for y in ([x] if x else self.stretches(side.group()))]
-            out += [(b + begin, b + end, round(x, 6)) for b, (begin, end, x) in found]
+            for side in _SIDE.finditer(m.group()):
+                if side.end() - side.start() >= SHORTEST and _LETTER.search(side.group()):
+                    at = m.start() + side.start()
+                    out += [(at + begin, at + end, round(x, 6)) for begin, end, x in self.stretches(side.group())]
         return out
 
     def redact(self, text: str | None, mask: str = MASK) -> str | None:
@@ -176,12 +169,12 @@ class Scanner:
         return "".join(out) + text[at:]
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> Scanner:
+def trained(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, words: int = WORDS) -> Scanner:
     """A scanner whose identifiers use words of a bounded sample of texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
     few = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    words = rows.join(F.broadcast(few), "doc_id").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 2 and 20").groupBy("w").count().orderBy(F.desc("count"), "w").limit(5000)
-    return Scanner([r.w for r in words.collect()], threshold)
+    found = rows.join(F.broadcast(few), "doc_id").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 2 and 20").groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
+    return Scanner([r.w for r in found.collect()], threshold)
 
 
 def secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:

@@ -38,17 +38,45 @@ def test_markov_is_the_product_of_its_steps():
 
 
 def brute(scanner, text):
-    """All maximal runs, character by character."""
-    out, i = [], 0
-    while i < len(text):
-        j = i
-        while j < len(text) and text[j] in S.ALPHABET:
-            j += 1
-        core = text[i:j].strip("=-_/+")
-        if j - i >= S.SHORTEST and len(core) >= S.SHORTEST and any(c in string.digits for c in core) and any(c in string.ascii_letters for c in core) and scanner.score(core) > scanner.threshold:
-            out.append(core)
-        i = max(j, i + 1)
-    return out
+    """Runs of characters found one by one, all choices of disjoint stretches
+    tried, and each stretch scored from the models' tables."""
+    runs, run = [], []
+    for i, c in enumerate(text + " "):
+        if c.isascii() and (c.isalnum() or c in "+/_-"):
+            run.append(i)
+        else:
+            runs, run = runs + [run] * (len(run) >= S.SHORTEST), []
+    whole = lambda i, j: all(c.isascii() and (c.isalnum() or c in "+/_-=") for c in text[i:j])
+    assert all(whole(r[0], r[-1] + 1) for r in runs)
+    start = len(S.ALPHABET)
+
+    def bits(model, s):
+        out, last = 0.0, start
+        for c in s:
+            if c in "+/_-":
+                last = start
+                continue
+            out, last = out + model.log[last, S.ALPHABET.index(c)], S.ALPHABET.index(c)
+        return out
+
+    found = []
+    for r in runs:
+        begins = [i for i in r if text[i].isalnum() and (i == r[0] or not text[i - 1].isalnum())]
+        ends = [i + 1 for i in r if text[i].isalnum() and (i == r[-1] or not text[i + 1].isalnum())]
+        score = {}
+        for x, b in enumerate(begins):
+            for e in ends[x:]:
+                core = text[b:e]
+                if len(core) >= S.SHORTEST and any(c.isalpha() for c in core):
+                    score[b, e] = (bits(scanner.random, core) - bits(scanner.ordinary, core)) / len(core)
+        best = {r[-1] + 1: (0.0, [])}  # from a place on: the largest sum and its stretches
+        for i in reversed(r):
+            best[i] = best[i + 1]
+            for (b, e), x in score.items():
+                if b == i and x > scanner.threshold and (x - scanner.threshold) * (e - b) + best[e][0] > best[i][0] + 1e-9:
+                    best[i] = ((x - scanner.threshold) * (e - b) + best[e][0], [(b, e), *best[e][1]])
+        found += best[r[0]][1]
+    return [text[b:e] for b, e in found]
 
 
 def test_query_against_brute_force(spark):
@@ -61,6 +89,14 @@ def test_query_against_brute_force(spark):
     assert got == want and len(got) > 0
 
 
+def test_brute_force_on_joined_strings():
+    s, rng = S.Scanner(), random.Random(8)
+    pieces = ["order", "index", "remote", "v2", "2024", "a1b2c3d4e5f6", "9f8e7d6c5b4a3928", "Xk29qLpZ", "deadbeef01", "handler", "qzjxkvwpmtrb", "é"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice("/_-+= ") for _ in range(rng.randint(2, 9)))
+        assert [text[a:b] for a, b, _ in s.find(text)] == brute(s, text), text
+
+
 def test_odd_documents(spark):
     docs = odd.documents(spark)
     scanner = S.trained(docs)
@@ -78,35 +114,18 @@ def test_odd_documents(spark):
 def test_secrets_joined_to_names_and_paths():
     s, rng = S.Scanner(), random.Random(17)
     alphanumeric, hexadecimal = string.ascii_letters + string.digits, "0123456789abcdef"
-    for before, after in (("database_connection_password=", ""), ("https://host.example/services/hooks/incoming/messages/", ""), ("/api/users/list/", "/settings/profile/view"), ("export-service-account-key_", "&next=customer_order_index")):
-        for alphabet, k in ((hexadecimal, 32), (alphanumeric, 24), (alphanumeric, 40)):
+    places = [("", ""), ("api_key=", ""), ("customer_service_access_token=", ""), ("/usr/local/share/application/config/production/", ""), ("https://host.example/services/hooks/incoming/messages/", ""), ("/api/users/list/", "/settings/profile/view"), ("export-service-account-key_", "&next=customer_order_index")]
+    for before, after in places:
+        for alphabet, k in ((hexadecimal, 32), (alphanumeric, 20), (alphanumeric, 32), (string.ascii_letters, 32)):
             keys = ["".join(rng.choices(alphabet, k=k)) for _ in range(200)]
-            hit = sum(any(a <= len(before) and len(before) + k <= b for a, b, _ in s.find(before + key + after)) for key in keys)
-            assert hit / len(keys) > 0.9, (before, k, hit)
+            exact = sum([(a, b) for a, b, _ in s.find(before + key + after)] == [(len(before), len(before) + k)] for key in keys)
+            assert exact / len(keys) >= 0.95, (before, k, exact)
+        keys = ["".join(rng.choices(string.ascii_lowercase, k=32)) for _ in range(200)]
+        assert sum(bool(s.find(before + key + after)) for key in keys) / len(keys) >= 0.9
     a, b = "9b0b3c6a43eb78aa99cbd7049c572391", "qX7mP2vR9sT4wZ1kL8nB3dF6"
     assert s.redact(f"customer_connection_settings/{a}/remote_window_handler/{b}/default_export_table") == f"customer_connection_settings/{S.MASK}/remote_window_handler/{S.MASK}/default_export_table"
     base64 = "Zm9/v3QxYkE+d2hK/0pTZ1V4UnA+bUw5"
     assert s.redact(f"database_connection_password_of_customers={base64}==") == f"database_connection_password_of_customers={S.MASK}=="
     names = ["/".join("_".join(rng.choices(["customer", "order", "index", "session", "handler", "remote", "config", "export", "window", "search"], k=3)) + str(rng.randint(1, 2024)) for _ in range(4)) for _ in range(400)]
     assert sum(bool(s.find(x)) for x in names) / len(names) < 0.05
-
-
-def test_stretches_are_the_best_ones():
-    s, rng = S.Scanner(), random.Random(5)
-    pieces = ["order", "index", "remote", "v2", "2024", "a1b2c3d4e5f6", "9f8e7d6c5b4a3928", "Xk29qLpZ", "deadbeef01", "handler"]
-    for _ in range(200):
-        text = "".join(rng.choice(pieces) + rng.choice("/_-+") for _ in range(rng.randint(2, 6)))
-        parts = [m.span() for m in S._PART.finditer(text)]
-
-        def best(k):
-            options = [best(k - 1)] if k else [0.0]
-            for i in range(k):
-                core = text[parts[i][0] : parts[k - 1][1]]
-                if len(core) >= S.SHORTEST and any(c.isdigit() for c in core) and any(c.isalpha() for c in core) and s.score(core) > s.threshold:
-                    options.append(best(i) + (s.score(core) - s.threshold) * len(core))
-            return max(options)
-
-        found = s.stretches(text)
-        assert abs(sum((x - s.threshold) * (e - b) for b, e, x in found) - best(len(parts))) < 1e-9
-        assert all(x > s.threshold and e - b >= S.SHORTEST for b, e, x in found)
-    assert s.find("order-" * 100_000 + "v2") == []
+    assert s.find("1234-5678-9012-3456-7890") == [] and s.find("order-" * 100_000 + "v2") == []
