@@ -8,11 +8,17 @@ from __future__ import annotations
 
 from enum import Enum
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbob.errors import ValidationError
 
+#: Vectors of a block; two blocks give its square in pairs.
+PAIR_BLOCK = 1000
+
 
 def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -127,8 +133,57 @@ def first_pooled(tokens: DataFrame, key: str, vector: str, position: str) -> Dat
     return tokens.groupBy(key).agg(F.min_by(vector, position).alias(vector))
 
 
+def _matrix(vectors: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """The vectors of some rows, all of one length, as a matrix of doubles."""
+    taken = vectors.take(pa.array(rows))
+    return taken.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1 if len(taken.flatten()) else 0)
+
+
+def closeness(q: np.ndarray, v: np.ndarray, metric: Metric) -> np.ndarray:
+    """Scores of each row of ``q`` with each of ``v``."""
+    if metric is Metric.L2:  # differences in place of products, which lose digits
+        return np.stack([np.linalg.norm(v - x, axis=1) for x in q]) if len(q) else np.zeros((0, len(v)))
+    if metric is Metric.COSINE:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q, v = (np.nan_to_num(x / np.linalg.norm(x, axis=1)[:, None]) for x in (q, v))
+    return q @ v.T
+
+
 def pairwise(df: DataFrame, key: str, vector: str, metric: Metric | str = Metric.COSINE) -> DataFrame:
-    """``(a, b, score)`` of all pairs with a < b."""
-    a = df.select(F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = df.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", Metric.of(metric).score("va", "vb").alias("score"))
+    """``(a, b, score)`` of all pairs with a < b; the score is null where a
+    vector is null or the lengths differ.
+
+    Rows are cut into blocks, and each pair of blocks meets in one task as one
+    matrix product; a vector is sent once for each block.
+    """
+    metric = Metric.of(metric)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    count = max(4, -(-rows.count() // PAIR_BLOCK))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(count)).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keys, vectors, own = (group.column(c).combine_chunks() for c in ("k", "v", "own"))
+        side, i, j = own.to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        score = np.full((len(left), len(right)), np.nan)
+        fits = np.zeros(score.shape, bool)
+        for n in np.intersect1d(size[left], size[right]):
+            x, y = np.flatnonzero(size[left] == n), np.flatnonzero(size[right] == n)
+            if n >= 0:
+                score[np.ix_(x, y)] = closeness(_matrix(vectors, left[x]), _matrix(vectors, right[y]), metric)
+                fits[np.ix_(x, y)] = True
+        ids = keys.to_numpy(zero_copy_only=False)
+        low = ids[left][:, None] < ids[right][None, :]
+        if i == j:
+            x, y = np.nonzero(low)
+            a, b = left[x], right[y]
+        else:
+            x, y = np.nonzero(low | (ids[left][:, None] > ids[right][None, :]))
+            a, b = np.where(low[x, y], left[x], right[y]), np.where(low[x, y], right[y], left[x])
+        return pa.table({"a": keys.take(pa.array(a)), "b": keys.take(pa.array(b)), "score": pa.array(score[x, y], mask=~fits[x, y])})
+
+    return rows.withColumn("m", meets).select("k", "v", "own", "m.i", "m.j").groupBy("i", "j").applyInArrow(run, f"a {kind}, b {kind}, score double")

@@ -1,42 +1,63 @@
-"""Approximate search with exact re-ranking: inverted cells and random hyperplanes.
+"""Approximate search with exact scores: inverted cells and random hyperplanes.
 
 Both give at most k rows for each query, scored exactly; what is approximate is
-which vectors are looked at.  Presets say how many.
+which vectors are looked at.  A preset names the recall that is wanted.  How
+much has to be searched for it is measured on a bounded sample before the
+search: clustered vectors need a few cells, nearly random ones most of them.
+
+Both run the same join.  A vector lies in cells (one, or one for each hash
+table), a query probes some; cells are gathered in groups of bounded size, and
+in a group the queries of a cell meet its vectors as one matrix product.  Only
+a group's k best of each query leave it.  Cells that hold more than
+``PART_ROWS`` vectors are cut, so a hot one is spread over groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbob.errors import ValidationError
-from plumbob.functions.vectors import Metric, normalized
-from plumbob.operators.search import checked_k
+from plumbob.functions.vectors import Metric, closeness, normalized
+from plumbob.operators.search import QUERY_BLOCK, checked_k
+
+#: Vectors that the centres and probes are fitted on, at most (those of the
+#: smallest hashes of their keys), and how many of them are taken as queries.
+SAMPLE, ASKED = 20_000, 200
+#: Numbers of a group's vectors, and vectors of an undivided cell.
+GROUP_NUMBERS, PART_ROWS = 4_000_000, 50_000
+MOST_CELLS = 4096
 
 
 @dataclass(frozen=True)
 class Cells:
-    """``cells`` clusters, of which the ``probes`` nearest are searched."""
+    """``cells`` clusters (the square root of the rows, if none are given), of
+    which a query searches ``probes``, or as many as ``recall`` takes."""
 
-    cells: int
-    probes: int
+    cells: int | None = None
+    probes: int | None = None
+    recall: float = 0.95
 
 
 @dataclass(frozen=True)
 class Planes:
-    """``tables`` hash tables of ``bits`` random hyperplanes each."""
+    """``tables`` hash tables of ``bits`` random hyperplanes each, of which a
+    query searches ``probes`` buckets; where these aren't given, the longest
+    keys and fewest probes that ``recall`` allows."""
 
-    tables: int
-    bits: int
+    tables: int = 8
+    bits: int | None = None
+    probes: int | None = None
+    recall: float = 0.95
 
 
-CELLS = {"fast": Cells(16, 8), "balanced": Cells(16, 12), "high_recall": Cells(16, 14)}
-PLANES = {"fast": Planes(16, 4), "balanced": Planes(24, 4), "high_recall": Planes(24, 3)}
+CELLS = {"edge_cache": Cells(recall=0.85), "fast": Cells(recall=0.9), "balanced": Cells(), "high_recall": Cells(recall=0.99)}
+PLANES = {"edge_cache": Planes(4, recall=0.85), "fast": Planes(recall=0.9), "balanced": Planes(), "high_recall": Planes(recall=0.99)}
 
 
 def preset(name: str, kind: dict):
@@ -45,112 +66,301 @@ def preset(name: str, kind: dict):
     return kind[name]
 
 
-def _paired(metric: Metric):
-    """Scores of two columns of vectors of one length, a batch at once."""
+def _array(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of one length as a matrix."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1 if len(vectors) else 0)
 
-    @F.arrow_udf("double")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1) for c in (a, b))
-        if metric is Metric.L2:
-            return pa.array(np.sqrt(((x - y) ** 2).sum(1)))
-        dot = (x * y).sum(1)
-        if metric is Metric.COSINE:
-            scale = np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            dot = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
-        return pa.array(dot)
 
-    return run
+def _lists(x: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
 
 
-def _reranked(near: DataFrame, k: int, metric: Metric) -> DataFrame:
-    rows = near.where(F.size("q") == F.size("v")).withColumn("score", _paired(metric)("q", "v"))
-    order = F.asc("score") if metric.ascending else F.desc("score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, F.asc("doc_id")))
-    return rows.select("query_id", "doc_id", "score").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+# --------------------------------------------------------------- which cells
+
+
+class CellIndex:
+    """Centres, and how many of the nearest ones a query probes."""
+
+    tables = 1
+
+    def __init__(self, centres: np.ndarray, probes: int, metric: Metric):
+        self.centres, self.probes, self.metric = centres, min(probes, len(centres)), metric
+        self.count = len(centres)
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """The cells of each query, best first."""
+        product = q @ self.centres.T
+        d = -product if self.metric is Metric.DOT else (self.centres * self.centres).sum(1) - 2 * product
+        return np.argsort(d, axis=1, kind="stable")
+
+    def cells(self, v: np.ndarray) -> np.ndarray:
+        return ((self.centres * self.centres).sum(1) - 2 * v @ self.centres.T).argmin(1)[:, None]
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        return self.order(q)[:, : self.probes]
+
 
+class PlaneIndex:
+    """Signs of projections as keys; a query probes, in each table, its own
+    bucket and those that differ where its projections are smallest."""
 
-def _sides(docs: DataFrame, queries: DataFrame, key: str, vector: str, metric: Metric) -> tuple[DataFrame, DataFrame]:
-    unit = normalized(vector) if metric is Metric.COSINE else F.col(vector).cast("array<double>")
-    return docs.select(F.col(key).alias("doc_id"), unit.alias("v")), queries.select("query_id", unit.alias("q"))
+    def __init__(self, planes: np.ndarray, tables: int, bits: int, probes: int):
+        self.planes, self.tables, self.bits = planes[:, : tables * bits], tables, bits
+        self.probes = min(probes, 1 << bits)
+        self.count = tables << bits
+        self.base = np.arange(tables) << bits
 
+    def cells(self, v: np.ndarray) -> np.ndarray:
+        sign = (v @ self.planes > 0).reshape(len(v), self.tables, self.bits)
+        return sign @ (1 << np.arange(self.bits)) + self.base
 
-def train_cells(docs: DataFrame, cells: int, vector: str = "embedding", seed: int = 42, sample: int = 100_000) -> np.ndarray:
-    """Centres of k-means over a bounded sample of ``sample`` vectors at most."""
-    rows = docs.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample).toPandas()[vector]
-    x = np.stack([np.asarray(v, float) for v in rows])
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        own = self.cells(q) - self.base
+        margin = np.abs(q @ self.planes).reshape(len(q), self.tables, self.bits)
+        masks = np.arange(1 << self.bits)
+        cost = margin @ ((masks[:, None] >> np.arange(self.bits)) & 1).T.astype(float)
+        flip = np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]
+        return ((own[:, :, None] ^ flip) + self.base[:, None]).reshape(len(q), -1)
+
+
+def _sample(v: DataFrame) -> np.ndarray:
+    rows = v.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("v").toArrow().column("v")
+    return _array(rows)
+
+
+def _truth(x: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sample as queries, and their nearest others in it."""
+    asked = np.arange(min(ASKED, len(x)))
+    s = closeness(x[asked], x, metric) * (-1 if metric is Metric.L2 else 1)
+    s[asked, asked] = -np.inf
+    return asked, np.argsort(-s, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
+
+
+def train_cells(x: np.ndarray, cells: int, seed: int = 42, rounds: int = 8) -> np.ndarray:
+    """Centres of k-means over a sample."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(20):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
-        new = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+    for _ in range(rounds):
+        near = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(near[order]) > 0))
+        new = centres.copy()
+        new[near[order][first]] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
         if np.allclose(new, centres):
             break
         centres = new
     return centres
 
 
-def _nearest(centres: np.ndarray, count: int):
+def cell_index(x: np.ndarray, rows: int, k: int, metric: Metric, size: Cells) -> CellIndex:
+    count = size.cells or min(MOST_CELLS, max(1, len(x) // 8), int(np.ceil(np.sqrt(rows))))
+    index = CellIndex(train_cells(x, count), size.probes or 1, metric)
+    if not size.probes:
+        asked, near = _truth(x, k, metric)
+        place = np.argsort(index.order(x[asked]), axis=1)  # where a cell comes in a query's order
+        needed = np.sort(np.take_along_axis(place, index.cells(x)[:, 0][near], axis=1).ravel())
+        index.probes = int(needed[min(len(needed) - 1, int(np.ceil(size.recall * len(needed))))]) + 1
+    return index
+
+
+def plane_index(x: np.ndarray, rows: int, k: int, metric: Metric, size: Planes, seed: int = 42) -> PlaneIndex:
+    most = size.bits or max(1, min(16, int(np.log2(max(rows, 2)))))
+    planes = np.random.default_rng(seed).normal(size=(x.shape[1], size.tables * most))
+    if size.bits:
+        return PlaneIndex(planes, size.tables, size.bits, size.probes or 1)
+    asked, near = _truth(x, k, metric)
+    best = None
+    for bits in range(1, most + 1):
+        for probes in [size.probes] if size.probes else [p for p in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64) if p <= 1 << bits]:
+            index = PlaneIndex(planes, size.tables, bits, probes)
+            hit = (index.probed(x[asked])[:, None, :, None] == index.cells(x)[near][:, :, None, :]).any((2, 3)).mean()
+            work = size.tables * probes / (1 << bits)
+            if hit >= size.recall and (best is None or work < best[0]):
+                best = (work, index)
+                break
+    return best[1] if best else PlaneIndex(planes, 1, 1, 2)  # everything
+
+
+# ------------------------------------------------------------------ the join
+
+
+def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim: int, k: int, metric: Metric, stored: bool = False) -> DataFrame:
+    """``(query_id, rank, doc_id, score)``.  ``v`` has doc_id and v, and its cell
+    if it is ``stored``; ``fill`` is each cell's share of the vectors."""
+    asked = q.count()
+    parallel = v.sparkSession.sparkContext.defaultParallelism
+    parts = np.maximum(1, np.ceil(fill * rows / PART_ROWS)).astype(np.int64)
+    groups = int(min(max(parallel, np.ceil(rows * index.tables * dim / GROUP_NUMBERS)), parts.sum()))
+    first = np.concatenate([[0], np.cumsum(parts)])  # a cell's parts are slots, dealt to the groups
+    visits = min(1.0, index.tables * index.probes * parts.max() / groups)
+    shares = int(max(1, np.ceil(asked * visits * dim / GROUP_NUMBERS)))  # of the queries of a group
+    ids, docs = q.schema["query_id"].dataType.simpleString(), v.schema["doc_id"].dataType.simpleString()
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _array(b.column("v"))
+            cells = b.column("cell").to_numpy().astype(np.int64)[:, None] if stored else index.cells(x)
+            part = b.column("h").to_numpy()[:, None] % parts[cells]
+            row = np.repeat(np.arange(len(x)), cells.shape[1] * shares)
+            at = np.repeat((first[cells] + part).ravel(), shares)
+            share = np.tile(np.arange(shares), cells.size)
+            yield pa.RecordBatch.from_arrays([pa.array((at % groups * shares + share).astype(np.int64)), pa.array(at), b.column("doc_id").take(pa.array(row)), _lists(x[row])], ["g", "slot", "doc_id", "v"])
+
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _array(b.column("q"))
+            share = b.column("h").to_numpy() % shares
+            row, group, slots = [], [], []
+            for r, cells in enumerate(index.probed(x)):
+                at = np.concatenate([np.arange(first[c], first[c + 1]) for c in cells])
+                own = at % groups
+                for g in np.unique(own).tolist():
+                    row.append(r)
+                    group.append(g * shares + int(share[r]))
+                    slots.append(at[own == g])
+            lengths = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(slots or [np.zeros(0, np.int64)]))), b.column("query_id").take(pa.array(row, pa.int64())), _lists(x[np.array(row, np.int64)])], ["g", "slots", "query_id", "q"])
+
+    def meet(asking: pa.Table, y: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": asking.column("query_id").slice(0, 0), "doc_id": y.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not len(asking) or not len(y):
+            return empty
+        y = y.sort_by([("slot", "ascending"), ("doc_id", "ascending")])
+        qm, vm, slot = _array(asking.column("q")), _array(y.column("v")), y.column("slot").to_numpy()
+        lists = asking.column("slots").combine_chunks()
+        owner = np.repeat(np.arange(len(asking)), lists.value_lengths().to_numpy())
+        flat = lists.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        found = []
+        for s in np.unique(slot):
+            lo, hi = np.searchsorted(slot, s), np.searchsorted(slot, s, side="right")
+            who = owner[np.searchsorted(flat, s) : np.searchsorted(flat, s, side="right")]
+            for i in range(0, len(who), QUERY_BLOCK):
+                some = who[i : i + QUERY_BLOCK]
+                product = qm[some] @ vm[lo:hi].T  # cosines, too: vectors have norm 1 then
+                rank = (vm[lo:hi] ** 2).sum(1) - 2 * product if metric is Metric.L2 else -product
+                if hi - lo > k:
+                    # products lose digits: what is near the k-th is taken, then measured
+                    cut = np.partition(rank, k - 1, axis=1)[:, k - 1]
+                    a, b = np.nonzero(rank <= (cut + 1e-6 * (1 + np.abs(cut)))[:, None])
+                else:
+                    a, b = np.nonzero(np.ones_like(rank, bool))
+                x, v = qm[some[a]], vm[lo + b]
+                score = np.linalg.norm(x - v, axis=1) if metric is Metric.L2 else np.einsum("ij,ij->i", x, v)
+                found.append((some[a], lo + b, score, score if metric is Metric.L2 else -score))
+        if not found:
+            return empty
+        who, which, score, rank = (np.concatenate(c) for c in zip(*found))
+        ids = y.column("doc_id").combine_chunks().take(pa.array(which))
+        code = ids.dictionary_encode()
+        place = np.argsort(np.argsort(code.dictionary.to_numpy(zero_copy_only=False)))[code.indices.to_numpy()]
+        order = np.lexsort((place, rank, who))
+        if index.tables > 1:  # one vector may be met in several tables
+            both = who[order] * np.int64(len(code.dictionary)) + place[order]
+            order = order[np.sort(np.unique(both, return_index=True)[1])]
+        begins = np.flatnonzero(np.append(True, np.diff(who[order]) > 0))
+        nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+        keep = order[nth < k]
+        return pa.table({"query_id": asking.column("query_id").combine_chunks().take(pa.array(who[keep])), "doc_id": ids.take(pa.array(keep)), "score": pa.array(score[keep])})
+
+    v = v.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)))
+    q = q.withColumn("h", F.xxhash64("query_id").bitwiseAND(F.lit((1 << 62) - 1)))
+    a = q.mapInArrow(queries, f"g long, slots array<long>, query_id {ids}, q array<double>")
+    b = v.mapInArrow(vectors, f"g long, slot long, doc_id {docs}, v array<double>")
+    near = a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(meet, f"query_id {ids}, doc_id {docs}, score double")
+    if index.tables > 1:
+        near = near.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    order = F.asc("score") if metric.ascending else F.desc("score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, F.asc("doc_id")))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
-    @F.pandas_udf("array<int>")
-    def run(vectors: pd.Series) -> pd.Series:
-        v = np.stack([np.asarray(x, float) for x in vectors]) if len(vectors) else np.zeros((0, centres.shape[1]))
-        d = (centres * centres).sum(1) - 2 * v @ centres.T
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :count].astype(np.int32)))
 
-    return run
+def _unit(vector: str, metric: Metric):
+    return normalized(vector) if metric is Metric.COSINE else F.col(vector).cast("array<double>")
 
 
-def ann_cells(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, size: Cells | str = "balanced", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Each vector lies in its nearest cell; a query joins the nearest
-    ``probes`` cells.  Stored by cell, a search reads those cells only."""
+def _fitted(docs: DataFrame, key: str, vector: str, metric: Metric):
+    """``(doc_id, v)`` of the vectors of one dimension, how many they are, the
+    dimension and a sample."""
+    v = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), _unit(vector, metric).alias("v"))
+    size = v.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("d")).first()
+    if size.low != size.d:
+        raise ValidationError(f"vectors of dimensions {size.low} to {size.d}")
+    return v, size.n, size.d or 0, _sample(v)
+
+
+def _fill(index, x: np.ndarray) -> np.ndarray:
+    """Each cell's share of a sample's vectors."""
+    return np.bincount(index.cells(x).ravel(), minlength=index.count) / len(x)
+
+
+def _search(docs, queries, k, metric, size, key, vector, build) -> DataFrame:
     checked_k(k)
-    metric, size = Metric.of(metric), preset(size, CELLS) if isinstance(size, str) else size
-    v, q = _sides(docs, queries, key, vector, metric)
-    centres = train_cells(v, size.cells, "v")
-    v = v.withColumn("cell", _nearest(centres, 1)("v")[0])
-    q = q.withColumn("cell", F.explode(_nearest(centres, size.probes)("q")))
-    return _reranked(q.join(v, "cell"), k, metric)
+    metric = Metric.of(metric)
+    v, rows, dim, x = _fitted(docs, key, vector, metric)
+    q = queries.where(F.size(vector) == dim).select("query_id", _unit(vector, metric).alias("q"))
+    if not rows:
+        return q.crossJoin(v).select("query_id", F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+    index = build(x, rows, k, metric, size)
+    return _joined(v, q, index, _fill(index, x), rows, dim, k, metric)
+
+
+def ann_cells(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, size: Cells | str = "balanced", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Each vector lies in its nearest cell; a query searches the nearest few.
+    Queries of another dimension have no rows."""
+    size = preset(size, CELLS) if isinstance(size, str) else size
+    return _search(docs, queries, k, metric, size, key, vector, cell_index)
+
+
+def ann_planes(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, size: Planes | str = "balanced", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Signs of random projections are hash keys; what shares one is compared."""
+    size = preset(size, PLANES) if isinstance(size, str) else size
+    return _search(docs, queries, k, metric, size, key, vector, plane_index)
+
+
+# ------------------------------------------------------------------ to keep
 
 
 def build_cells(docs: DataFrame, path: str, size: Cells | str = "balanced", metric: Metric | str = Metric.COSINE, key: str = "vec_id", vector: str = "embedding") -> None:
     """Write the vectors by cell, and the centres beside them; to build again is
     to write another path."""
     metric, size = Metric.of(metric), preset(size, CELLS) if isinstance(size, str) else size
-    v, _ = _sides(docs, docs.select(F.col(key).alias("query_id"), vector).limit(0), key, vector, metric)
-    centres = train_cells(v, size.cells, "v")
-    docs.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
-    v.withColumn("cell", _nearest(centres, 1)("v")[0]).repartition("cell").write.partitionBy("cell").parquet(f"{path}/cells")
+    v, rows, _, x = _fitted(docs, key, vector, metric)
+    index = cell_index(x, rows, 10, metric, size)
+    fill = _fill(index, x)
+    kind = v.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _array(b.column("v"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(m), pa.array(index.cells(m)[:, 0].astype(np.int32))], ["doc_id", "v", "cell"])
+
+    docs.sparkSession.createDataFrame([(i, c.tolist(), float(f), index.probes) for i, (c, f) in enumerate(zip(index.centres, fill))], "cell int, centre array<double>, fill double, probes int").coalesce(1).write.parquet(f"{path}/centres")
+    cells = v.mapInArrow(run, f"doc_id {kind}, v array<double>, cell int")
+    # a hot cell's rows go to several tasks
+    parts = F.element_at(F.lit(np.maximum(1, np.ceil(fill * rows / PART_ROWS)).astype(int).tolist()), F.col("cell") + 1)
+    cells.repartition("cell", F.pmod(F.xxhash64("doc_id"), parts.cast("long"))).write.partitionBy("cell").parquet(f"{path}/cells")
 
 
-def search_cells(spark, path: str, queries: DataFrame, k: int, probes: int, metric: Metric | str = Metric.COSINE, vector: str = "embedding") -> DataFrame:
+def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, metric: Metric | str = Metric.COSINE, vector: str = "embedding") -> DataFrame:
     """Search what ``build_cells`` wrote; cells that no query probes are pruned
     before they are read."""
     checked_k(k)
     metric = Metric.of(metric)
-    centres = np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
-    unit = normalized(vector) if metric is Metric.COSINE else F.col(vector).cast("array<double>")
-    q = queries.select("query_id", unit.alias("q")).withColumn("cell", F.explode(_nearest(centres, probes)("q")))
-    wanted = sorted(r.cell for r in q.select("cell").distinct().collect())  # at most one a centre
-    v = spark.read.parquet(f"{path}/cells").where(F.col("cell").isin(wanted))
-    return _reranked(q.join(v, "cell"), k, metric)
-
-
-def ann_planes(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, size: Planes | str = "balanced", key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """Signs of random projections are hash keys; what shares one is compared."""
-
-    checked_k(k)
-    metric, size = Metric.of(metric), preset(size, PLANES) if isinstance(size, str) else size
-    v, q = _sides(docs, queries, key, vector, metric)
-    dim = docs.agg(F.max(F.size(vector))).first()[0] or 1
-    planes = np.random.default_rng(seed).normal(size=(dim, size.tables * size.bits))
-
-    @F.pandas_udf("array<int>")
-    def buckets(vectors: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(x, float) for x in vectors]) if len(vectors) else np.zeros((0, dim))
-        sign = (x @ planes > 0).reshape(len(x), size.tables, size.bits) @ (1 << np.arange(size.bits))
-        return pd.Series(list((sign + (np.arange(size.tables) << size.bits)).astype(np.int32)))
-
-    a = q.withColumn("bucket", F.explode(buckets("q")))
-    b = v.withColumn("bucket", F.explode(buckets("v")))
-    near = a.select("query_id", "bucket").join(b.select("doc_id", "bucket"), "bucket").select("query_id", "doc_id").distinct()
-    return _reranked(near.join(q, "query_id").join(v, "doc_id"), k, metric)
+    known = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    index = CellIndex(np.array([r.centre for r in known]), probes or known[0].probes, metric)
+    dim = index.centres.shape[1]
+    q = queries.where(F.size(vector) == dim).select("query_id", _unit(vector, metric).alias("q"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(index.probed(_array(b.column("q")))).astype(np.int32))], ["cell"])
+
+    cells = sorted(r.cell for r in q.mapInArrow(wanted, "cell int").distinct().collect())  # at most one a centre
+    v = spark.read.parquet(f"{path}/cells")
+    return _joined(v.where(F.col("cell").isin(cells)), q, index, np.array([r.fill for r in known]), v.count(), dim, k, metric, stored=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbob.errors import AlreadyExists, InvalidState, ValidationError
+from plumbob.errors import AlreadyExists, InvalidState, NotFound, ValidationError
 
 LEAST_DIM, MOST_DIM = 16, 4096
 NAME_BYTES, MODEL_BYTES = 255, 256
@@ -152,3 +152,46 @@ def quota_flags(memory: Column, storage: Column, qps: Column) -> list[Column]:
 
 def over_quota(used: Column, quota: Column) -> Column:
     return (quota > 0) & (used > quota)
+
+
+# -------------------------------------------------------------------- changes
+
+
+def created(df: DataFrame, rows: DataFrame, key: str, unique: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with new ``rows``; a key that is taken, or other columns that must
+    be unique together and aren't, are an error."""
+    out = df.unionByName(rows)
+    require_unique(out, key)
+    if unique:
+        require_unique(out, *unique)
+    return out
+
+
+def updated(df: DataFrame, changes: DataFrame, key: str, now: Column | None = None) -> DataFrame:
+    """``df`` with the columns of ``changes`` replaced where its key occurs;
+    ``updated_at``, if there, is renewed.  A missing or repeated key is an error."""
+    require_unique(changes, key)
+    if row := changes.join(df.select(key), key, "left_anti").first():
+        raise NotFound(f"{key} {row[key]} not found")
+    fresh = [c for c in changes.columns if c != key]
+    rows = df.join(changes.select(key, F.struct(*fresh).alias("_new")), key, "left")
+    hit = F.col("_new").isNotNull()
+    values = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in fresh}
+    if "updated_at" in df.columns and "updated_at" not in fresh:
+        values["updated_at"] = F.when(hit, F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))
+    return rows.select(*(values.get(c, F.col(c)).alias(c) for c in df.columns))
+
+
+def removed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without ``keys``; a missing one is an error."""
+    gone = keys.select(key).distinct()
+    if row := gone.join(df.select(key), key, "left_anti").first():
+        raise NotFound(f"{key} {row[key]} not found")
+    return df.join(gone, key, "left_anti")
+
+
+def touched(keys: DataFrame, used: DataFrame, key: str = "key_id", ts: str = "used_at") -> DataFrame:
+    """API keys with ``last_used_at`` renewed from a log of uses."""
+    last = used.groupBy(key).agg(F.max(ts).alias("_at"))
+    rows = keys.join(last, key, "left")
+    return rows.withColumn("last_used_at", F.greatest("last_used_at", "_at")).select(*keys.columns)

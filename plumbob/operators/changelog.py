@@ -38,12 +38,20 @@ def replay(log: DataFrame, start: int = 0, lsn: str = "lsn") -> DataFrame:
 
 
 def materialize(log: DataFrame, key: str = "doc_id", lsn: str = "lsn", kind: str = "type") -> DataFrame:
-    """The last change of each key, where that is an upsert.  One shuffle, with
+    """The last change of each key, where that is an upsert; of changes with one
+    number an upsert, then the one of the largest values.  One shuffle, with
     partial maxima before it; other kinds of change don't matter."""
+    last = latest_changes(log, key, lsn, kind)
+    return last.where(F.col(kind) == "upsert").drop(kind)
+
+
+def latest_changes(log: DataFrame, key: str = "doc_id", lsn: str = "lsn", kind: str = "type") -> DataFrame:
+    """The last upsert or delete of each key, in the log's columns."""
     rows = log.where(F.col(kind).isin("upsert", "delete") & F.col(key).isNotNull())
-    rest = [c for c in rows.columns if c != key]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), lsn).alias("_last"))
-    return last.where(F.col(f"_last.{kind}") == "upsert").select(key, "_last.*").drop(kind)
+    rest = [lsn, kind, *(c for c, t in rows.dtypes if c not in (key, lsn, kind) and "map<" not in t and t != "variant")]
+    loose = [c for c in rows.columns if c != key and c not in rest]  # maps have no order
+    whole = F.max_by(F.struct(*rest, *loose), F.struct(*rest)) if loose else F.max(F.struct(*rest))
+    return rows.groupBy(key).agg(whole.alias("_last")).select(key, *(F.col(f"_last.{c}") for c in log.columns if c != key))
 
 
 def compacted(log: DataFrame, key: str = "doc_id", lsn: str = "lsn", kind: str = "type") -> tuple[DataFrame, DataFrame]:

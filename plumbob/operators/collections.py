@@ -11,10 +11,12 @@ from plumbob.functions.vectors import Metric, problem
 
 def insert_outcome(current: DataFrame, incoming: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
     """``incoming`` with ``accepted``: whether its key is new; of equal new keys
-    the first in ``order`` is.  Only keys of ``current`` are shuffled."""
+    the first in ``order`` is, or in the order of all columns without it.  Only
+    keys of ``current`` are shuffled."""
+    rest = [order] if order else [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in incoming.dtypes if c != key]
     taken = current.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_taken", F.lit(True))
     rows = incoming.join(taken, key, "left")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order or F.lit(1)))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*rest or [F.lit(1)]))
     return rows.withColumn("accepted", F.col(key).isNotNull() & F.col("_taken").isNull() & (first == 1)).drop("_taken")
 
 

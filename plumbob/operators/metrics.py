@@ -102,3 +102,18 @@ def load_summary(log: DataFrame, ts: str, value: str, failed: Column) -> DataFra
     good = F.col("requests") - F.col("failures")
     over = lambda a: F.when(F.col("seconds") > 0, a / F.col("seconds")).otherwise(0.0)
     return rows.select("requests", "failures", F.when(F.col("requests") > 0, F.col("failures") / F.col("requests")).otherwise(0.0).alias("error_rate"), "seconds", over(good).alias("per_second"), over((F.col("_last") - F.col("_first")) * 60).alias("slope_per_minute"))
+
+
+def pressure(log: DataFrame, ts: str, used: str, size: float, most: float = 0.85, minutes: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(window_start, *by, share, firing)``: what is used of ``size`` in all,
+    in each window."""
+    rows = log.groupBy(F.window(F.col(ts), f"{minutes} minutes").alias("_w"), *by).agg((F.sum(used) / F.lit(float(size))).alias("share"))
+    return rows.select(F.col("_w.start").alias("window_start"), *by, "share", (F.col("share") > most).alias("firing"))
+
+
+def growing(log: DataFrame, ts: str, size: str, most: float = 50, minutes: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(window_start, *by, size, slope, firing)``: a queue alarms if it holds
+    more than ``most`` and its size's slope is upwards, in each window."""
+    x = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - 1_700_000_000.0
+    rows = log.groupBy(F.window(F.col(ts), f"{minutes} minutes").alias("_w"), *by).agg(F.sum(size).alias("size"), F.regr_slope(F.col(size), x).alias("slope"))
+    return rows.select(F.col("_w.start").alias("window_start"), *by, "size", "slope", F.coalesce((F.col("size") > most) & (F.col("slope") > 0), F.lit(False)).alias("firing"))

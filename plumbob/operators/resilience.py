@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict, deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 TRANSIENT, PERMANENT = ("500", "503", "504", "429", "timeout", "connection reset"), ("403", "404", "400")
 BASE_MS, MOST_MS = 1000, 64_000
@@ -133,3 +135,75 @@ def worst_health(parts: DataFrame, by: list[str], health: str = "health") -> Dat
 def ready(collections: DataFrame, breaker: str = "breaker") -> DataFrame:
     """``(ready)``: there are collections and no breaker is open."""
     return collections.agg((F.count("*") > 0).alias("some"), F.coalesce(F.bool_and(F.col(breaker) != "open"), F.lit(True)).alias("fine")).select((F.col("some") & F.col("fine")).alias("ready"))
+
+
+# ------------------------------------------------------------- read-through
+
+
+def cached_reads(log: DataFrame, key: str, order: str, entries: int = 10_000, chunks: int = 64) -> DataFrame:
+    """``log`` with ``hit``: whether a read-through cache that holds the last
+    ``entries`` different keys read (LRU) had the key.
+
+    Exact, and parallel: what a cache holds is the last ``entries`` different
+    keys, so the log is cut into ``chunks`` by ``order``, each gives its last
+    keys, these are run together (chunks times entries at most), and each chunk
+    is played from the cache that it finds.  Null keys miss.
+    """
+    cuts = log.agg(F.percentile_approx(order, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("c")).first().c or []
+    chunk = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = log.withColumn("_chunk", chunk)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def last_keys(group: pa.Table) -> pa.Table:
+        keys = group.sort_by(order).column(key).to_pylist()
+        held = list(dict.fromkeys(k for k in reversed(keys) if k is not None))[:entries]
+        return pa.table({"_chunk": group.column("_chunk").slice(0, 1), "_last": pa.array([held[::-1]], pa.list_(group.schema.field(key).type))})
+
+    def begins(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_chunk")
+        held, out = OrderedDict(), []
+        for keys in group.column("_last").to_pylist():
+            out.append(list(held))
+            for k in keys:
+                held.pop(k, None)
+                held[k] = True
+            while len(held) > entries:
+                held.popitem(last=False)
+        return pa.table({"_chunk": group.column("_chunk"), "_held": pa.array(out, group.schema.field("_last").type)})
+
+    def play(x: pa.Table, y: pa.Table) -> pa.Table:
+        x = x.sort_by(order)
+        held = OrderedDict.fromkeys(y.column("_held")[0].as_py()) if len(y) else OrderedDict()
+        hits = []
+        for k in x.column(key).to_pylist():
+            hits.append(k is not None and k in held)
+            if k is not None:
+                held.pop(k, None)
+                held[k] = True
+                if len(held) > entries:
+                    held.popitem(last=False)
+        return x.drop_columns(["_chunk"]).append_column("hit", pa.array(hits, pa.bool_()))
+
+    small = rows.select(key, order, "_chunk")
+    last = small.groupBy("_chunk").applyInArrow(last_keys, f"_chunk int, _last array<{kind}>")
+    first = last.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(begins, f"_chunk int, _held array<{kind}>")
+    schema = StructType([*log.schema.fields, StructField("hit", BooleanType())])
+    return rows.groupBy("_chunk").cogroup(first.groupBy("_chunk")).applyInArrow(play, schema)
+
+
+# ------------------------------------------------------- dead letters on disk
+
+
+def keep_letters(letters: DataFrame, path: str, now: Column, order: str = "created_at", size: int = DEAD_LETTERS) -> None:
+    """Write the queue: the newest letters that aren't expired, as one version
+    beside those before it, named by its time."""
+    spark = letters.sparkSession
+    stamp = spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("t")).first().t
+    newest(unexpired(letters, now), order, size).write.parquet(f"{path}/version={stamp}")
+
+
+def kept_letters(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """The last version of the queue, without letters that expired since."""
+    rows = spark.read.parquet(path)
+    last = rows.select("version").agg(F.max("version")).first()[0]
+    return unexpired(rows.where(F.col("version") == last).drop("version"), now)

@@ -150,3 +150,11 @@ def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
 def index_choice(collections: DataFrame, rows: str = "rows") -> DataFrame:
     """``collections`` with ``index``: exact up to EXACT_ROWS, else ann."""
     return collections.withColumn("index", F.when(F.col(rows) <= EXACT_ROWS, "exact").otherwise("ann"))
+
+
+def accesses(found: DataFrame, collection_id: str, at=None) -> DataFrame:
+    """``(collection_id, accessed_at)``, a row for each query that was answered:
+    what the tiers' statistics count."""
+    when = F.current_timestamp() if at is None else at
+    rows = found.select("query_id").distinct() if "query_id" in found.columns else found.limit(1)
+    return rows.select(F.lit(collection_id).alias("collection_id"), when.alias("accessed_at"))

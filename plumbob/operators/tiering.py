@@ -89,3 +89,22 @@ def pinned(states: DataFrame, keys: DataFrame, key: str, value: bool = True) ->
 
 def tier_counts(states: DataFrame, tier: str = "tier") -> DataFrame:
     return states.groupBy(tier).agg(F.count("*").alias("collections"))
+
+
+#: Where a collection's vectors are kept: in memory, in an object store.
+STORAGE = {"memory": (True, False), "memory_s3": (True, True), "s3_only": (False, True)}
+
+
+def storage_flags(policy: Column) -> list[Column]:
+    """What a storage policy means: every one keeps a change log."""
+    known = policy.isin(*STORAGE)
+    flag = lambda i: policy.isin(*(k for k, v in STORAGE.items() if v[i]))
+    return [known.alias("known"), flag(0).alias("keeps_memory"), flag(1).alias("needs_store"), known.alias("needs_log")]
+
+
+def moves(states: DataFrame, key: str) -> DataFrame:
+    """``(key, from_tier, to_tier, action)`` of a cycle's result: what has to be
+    done with the data of the collections that change tiers."""
+    rows = states.where(F.col("tier") != F.col("new_tier"))
+    action = F.when(F.col("new_tier") == "hot", "load").when((F.col("tier") == "hot") & (F.col("new_tier") == "cold"), "write file and snapshot").when(F.col("new_tier") == "cold", "snapshot").when(F.col("tier") == "hot", "write file").otherwise("restore")
+    return rows.select(key, F.col("tier").alias("from_tier"), F.col("new_tier").alias("to_tier"), action.alias("action"))

@@ -15,6 +15,7 @@ from plumbob.functions import embedding, vectors
 from plumbob.functions.vectors import Metric
 from plumbob.operators import ann, catalog, changelog, collections, metrics, resilience, search, tiering
 from plumbob.sources import imports, snapshots, wal
+from plumbob.store import Store
 from plumbob.workdir import work_path
 
 QUERIES: dict = {}
@@ -199,6 +200,19 @@ def knn_batch(spark, sf):
     return search.top_k_batch(read(spark, sf, "embeddings"), _all_queries(spark, sf), K).withColumn("score", micro("score"))
 
 
+DIST_RANKED = f"SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {DIST} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank FROM embeddings a, embeddings b"
+
+
+@query(f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {_micro('s')} AS score FROM ({DIST_RANKED}) WHERE rank <= {K}")
+def knn_batch_l2(spark, sf):
+    return search.top_k_batch(read(spark, sf, "embeddings"), _all_queries(spark, sf), K, "l2").withColumn("score", micro("score"))
+
+
+@query(f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {_micro('s')} AS score FROM ({_ranked_sql(DOT)}) WHERE rank <= {K}")
+def knn_batch_dot(spark, sf):
+    return search.top_k_batch(read(spark, sf, "embeddings"), _all_queries(spark, sf), K, "dot").withColumn("score", micro("score"))
+
+
 HALF = "list_cosine_similarity(list_slice(a.embedding, 1, 32)::DOUBLE[], list_slice(b.embedding, 1, 32)::DOUBLE[])"
 
 
@@ -223,6 +237,42 @@ def ann_lsh(spark, sf):
     return ann.ann_planes(read(spark, sf, "embeddings"), _all_queries(spark, sf), K).withColumn("score", micro("score"))
 
 
+RECALL_SQL = "SELECT count(*) AS queries, true AS reached FROM embeddings"
+
+
+def _recall_reached(spark, sf, found: DataFrame) -> DataFrame:
+    """Whether at least 0.9 of the exact neighbours of all vectors were found."""
+    exact = search.top_k_batch(read(spark, sf, "embeddings"), _all_queries(spark, sf), K)
+    return search.recall(exact, found, K).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+@query(RECALL_SQL)
+def ann_ivf_recall(spark, sf):
+    return _recall_reached(spark, sf, ann.ann_cells(read(spark, sf, "embeddings"), _all_queries(spark, sf), K))
+
+
+@query(RECALL_SQL)
+def ann_lsh_recall(spark, sf):
+    return _recall_reached(spark, sf, ann.ann_planes(read(spark, sf, "embeddings"), _all_queries(spark, sf), K))
+
+
+@query(RECALL_SQL)
+def ann_stored_recall(spark, sf):
+    """Cells that were built and stored before they are searched."""
+    path = work_path(spark, "cells")
+    ann.build_cells(read(spark, sf, "embeddings"), path)
+    return _recall_reached(spark, sf, ann.search_cells(spark, path, _all_queries(spark, sf), K))
+
+
+@query("SELECT vec_id % 4 AS collection_id, count(*) AS access_count FROM embeddings GROUP BY 1")
+def search_accesses(spark, sf):
+    """Searches leave accesses that the tiers' statistics count."""
+    docs = read(spark, sf, "embeddings")
+    logs = [search.accesses(search.top_k_batch(docs, _all_queries(spark, sf).where(F.col("query_id") % 4 == i), 1), str(i)) for i in range(4)]
+    rows = logs[0].union(logs[1]).union(logs[2]).union(logs[3])
+    return tiering.access_stats(rows, "collection_id", "accessed_at").select(F.col("collection_id").cast("long"), "access_count")
+
+
 @query("SELECT l_returnflag AS collection, count(*) AS rows, CASE WHEN count(*) <= 10000 THEN 'exact' ELSE 'ann' END AS index FROM lineitem GROUP BY 1")
 def index_choice(spark, sf):
     return search.index_choice(read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("collection")).agg(F.count("*").alias("rows")))
@@ -270,6 +320,34 @@ def batch_files(spark, sf):
     return snapshots.batch_files(read(spark, sf, "lineitem"), "l_suppkey")
 
 
+@query("SELECT l_suppkey, count(*) AS documents, CAST(ceil(count(*) / 100.0) AS BIGINT) AS files FROM lineitem GROUP BY 1")
+def upload_batches(spark, sf):
+    """What was written, file by file."""
+    path = work_path(spark, "batches")
+    snapshots.write_batches(read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), path, "l_suppkey")
+    return spark.read.parquet(path).select(F.col("l_suppkey").cast("long").alias("l_suppkey"), F.input_file_name().alias("file")).groupBy("l_suppkey").agg(F.count("*").alias("documents"), F.countDistinct("file").alias("files"))
+
+
+@query("SELECT format, compression, count(*) AS vector_count, CAST(max(len(embedding)) AS INTEGER) AS dimension, true AS verified FROM embeddings, (VALUES ('parquet', 'zstd'), ('json', 'gzip'), ('parquet', 'snappy')) f(format, compression) GROUP BY 1, 2")
+def snapshot_admin(spark, sf):
+    """Four snapshots of which one is removed: what is listed, and whole."""
+    docs, path = read(spark, sf, "embeddings"), work_path(spark, "snapshots")
+    ids = [snapshots.create(docs, path, "c", "embedding", f, c) for f, c in (("parquet", "zstd"), ("json", "gzip"), ("parquet", None), ("parquet", "gzip"))]
+    snapshots.remove(spark, path, ids[-1])
+    whole = [i for i in ids if snapshots.verified(spark, path, i)]
+    return snapshots.manifests(spark, path).select("format", "compression", "vector_count", "dimension", F.col("snapshot_id").isin(*whole).alias("verified"))
+
+
+@query("SELECT count(*) AS files, sum(documents)::BIGINT AS documents FROM (SELECT label, count(*) AS documents FROM embeddings GROUP BY 1)")
+def object_files(spark, sf):
+    """A copied folder's files, listed without being read, and their rows."""
+    path = work_path(spark, "objects")
+    read(spark, sf, "embeddings").repartition("label").write.partitionBy("label").parquet(f"{path}/a")
+    snapshots.copy(spark, f"{path}/a", f"{path}/b")
+    listed = snapshots.files(spark, f"{path}/b").where(F.col("path").endswith(".parquet") & (F.col("bytes") > 0)).agg(F.count("*").alias("files"))
+    return listed.crossJoin(F.broadcast(spark.read.parquet(f"{path}/b").agg(F.count("*").alias("documents"))))
+
+
 @query("SELECT user_id, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def load_all_vectors(spark, sf):
     """The last stored version of each key, in order of insertion."""
@@ -298,6 +376,25 @@ def list_databases(spark, sf):
     return catalog.listed(rows.select(F.col("r_name").alias("tenant"), F.col("n_nationkey").alias("database_id"), F.col("n_name").alias("name")), "tenant", "database_id")
 
 
+@query("""SELECT c_custkey AS tenant_id, CASE WHEN c_acctbal < 0 THEN 'suspended' ELSE 'active' END AS status, c_name AS name FROM customer WHERE c_nationkey <> 3
+UNION ALL SELECT -1 - s_suppkey, 'active', s_name FROM supplier""")
+def tenant_changes(spark, sf):
+    """Tenants created, updated and deleted."""
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("tenant_id"), F.lit("active").alias("status"), F.col("c_name").alias("name"), "c_acctbal", "c_nationkey")
+    base = rows.select("tenant_id", "status", "name")
+    more = read(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("tenant_id"), F.lit("active").alias("status"), F.col("s_name").alias("name"))
+    out = catalog.created(base, more, "tenant_id", ("name",))
+    out = catalog.updated(out, rows.where("c_acctbal < 0").select("tenant_id", F.lit("suspended").alias("status")), "tenant_id")
+    return catalog.removed(out, rows.where("c_nationkey = 3").select("tenant_id"), "tenant_id")
+
+
+@query("SELECT c_custkey AS key_id, CAST(max(o_orderdate) AS DATE) AS last_used_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def api_key_touch(spark, sf):
+    keys = read(spark, sf, "customer").select(F.col("c_custkey").alias("key_id"), F.lit(None).cast("date").alias("last_used_at"))
+    used = read(spark, sf, "orders").select(F.col("o_custkey").alias("key_id"), F.col("o_orderdate").cast("date").alias("used_at"))
+    return catalog.touched(keys, used)
+
+
 @query("SELECT c_nationkey AS tenant_id, lower(c_name) AS email, c_custkey AS user_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def user_by_email(spark, sf):
     users = read(spark, sf, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.lower("c_name").alias("email"), F.col("c_custkey").alias("user_id"))
@@ -463,6 +560,37 @@ def describe_collection(spark, sf):
     return collections.describe(read(spark, sf, "embeddings"))
 
 
+def _stored(spark, sf):
+    """A collection of the embeddings on disk."""
+    docs = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("metadata"))
+    found = Store(spark, work_path(spark, "store")).create("c", 64, "l2")
+    found.insert(docs)
+    return found, docs
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS doc_id, embedding AS vector, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE CAST(label AS VARCHAR) END AS metadata FROM embeddings")
+def service_insert(spark, sf):
+    """Inserted, then a third of the documents replaced."""
+    found, docs = _stored(spark, sf)
+    found.upsert(docs.where("int(doc_id) % 3 = 0").withColumn("metadata", F.lit("new")))
+    return found.documents().select("doc_id", "vector", "metadata")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(label AS VARCHAR) AS metadata FROM embeddings WHERE vec_id % 3 <> 1")
+def service_delete(spark, sf):
+    """Inserted, a third deleted, compacted."""
+    found, docs = _stored(spark, sf)
+    found.delete(docs.where("int(doc_id) % 3 = 1").select("doc_id"))
+    found.compact()
+    return found.documents().select("doc_id", "metadata")
+
+
+@query("SELECT a.event_id, a.p IS NOT NULL AND (SELECT count(DISTINCT user_id) FROM events b WHERE b.event_id > a.p AND b.event_id < a.event_id) < 20 AS hit FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) a")
+def cached_reads(spark, sf):
+    """Reads by user through a cache of 20 entries."""
+    return resilience.cached_reads(read(spark, sf, "events").select("event_id", "user_id"), "user_id", "event_id", 20).select("event_id", "hit")
+
+
 # ----------------------------------------------------- tiering, resilience
 
 STATES_SQL = "SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier, user_id % 10 = 0 AS pinned, max(ts) AS last_accessed_at, count(*) AS access_count, max(ts) AS access_window_start FROM events GROUP BY user_id"
@@ -515,6 +643,24 @@ def tier_counts(spark, sf):
     return tiering.tier_counts(tiering.cycle(_states(spark, sf), F.expr(NOW)), "new_tier")
 
 
+@query(f"SELECT user_id, tier, CASE WHEN user_id % 7 = 0 THEN true ELSE pinned END AS pinned FROM ({STATES_SQL})")
+def pin(spark, sf):
+    states = _states(spark, sf)
+    return tiering.pinned(states, states.where("user_id % 7 = 0"), "user_id").select("user_id", "tier", "pinned")
+
+
+@query(f"""{CYCLE_SQL} SELECT user_id, tier AS from_tier, new_tier AS to_tier, CASE WHEN new_tier = 'hot' THEN 'load' WHEN tier = 'hot' AND new_tier = 'cold' THEN 'write file and snapshot' WHEN new_tier = 'cold' THEN 'snapshot' WHEN tier = 'hot' THEN 'write file' ELSE 'restore' END AS action FROM c WHERE tier <> new_tier""")
+def tier_moves(spark, sf):
+    return tiering.moves(tiering.cycle(_states(spark, sf), F.expr(NOW)), "user_id")
+
+
+@query("SELECT p_partkey, p IN ('memory', 'memory_s3', 's3_only') AS known, p IN ('memory', 'memory_s3') AS keeps_memory, p IN ('memory_s3', 's3_only') AS needs_store, p IN ('memory', 'memory_s3', 's3_only') AS needs_log FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'memory' WHEN 1 THEN 'memory_s3' WHEN 2 THEN 's3_only' ELSE 'disk' END AS p FROM part)")
+def storage_policy(spark, sf):
+    quarter = F.col("p_size") % 4
+    policy = F.when(quarter == 0, "memory").when(quarter == 1, "memory_s3").when(quarter == 2, "s3_only").otherwise("disk")
+    return read(spark, sf, "part").select("p_partkey", *tiering.storage_flags(policy))
+
+
 @query("""SELECT event_id, CASE WHEN m LIKE '%500%' OR m LIKE '%503%' OR m LIKE '%504%' OR m LIKE '%429%' OR m LIKE '%timeout%' OR m LIKE '%connection reset%' THEN 'transient' WHEN m LIKE '%403%' OR m LIKE '%404%' OR m LIKE '%400%' THEN 'permanent' ELSE 'transient' END AS class
 FROM (SELECT event_id, 'status ' || CAST(400 + event_id % 110 AS VARCHAR) AS m FROM events)""")
 def classify_errors(spark, sf):
@@ -533,7 +679,15 @@ def error_rate_60s(spark, sf):
     return rows.select("event_id", micro("error_rate").alias("error_rate"), "requests")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id, event_id, ts, row_number() OVER k AS rn, CAST(event_type = 'error' AS INTEGER) AS bad, sum(CAST(event_type = 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM events WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS (SELECT *, min(rn) OVER w AS lo, min(cum - bad) OVER w AS cum_lo FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW)),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, 'closed' AS state, CAST(NULL AS TIMESTAMP) AS since, 0 AS good, CAST(0 AS BIGINT) AS start, CAST(0 AS HUGEINT) AS cum_start FROM e
+UNION ALL
+SELECT user_id, rn, event_id, state, CASE WHEN state = 'open' AND found <> 'open' THEN ts ELSE since END, good, CASE WHEN state <> found AND found <> 'open' THEN rn ELSE start END, CASE WHEN state <> found AND found <> 'open' THEN cum ELSE cum_start END
+FROM (SELECT *, CASE WHEN found = 'half_open' AND bad = 1 THEN 'open' WHEN found = 'half_open' AND good >= 10 THEN 'closed' WHEN found = 'closed' AND rn - greatest(start, lo - 1) >= 10 AND (cum - greatest(cum_start, cum_lo)) * 2 > rn - greatest(start, lo - 1) THEN 'open' ELSE found END AS state
+  FROM (SELECT *, CASE WHEN found <> 'half_open' THEN good0 WHEN bad = 1 THEN good0 ELSE (CASE WHEN was = 'open' THEN 0 ELSE good0 END) + 1 END AS good
+    FROM (SELECT e.user_id, e.rn, e.event_id, e.ts, e.bad, e.cum, e.lo, e.cum_lo, r.state AS was, r.since, r.good AS good0, r.start, r.cum_start, CASE WHEN r.state = 'open' AND e.ts - r.since >= INTERVAL 300 SECOND THEN 'half_open' ELSE r.state END AS found FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))))
+SELECT user_id, event_id, state FROM r WHERE rn > 0""")
 def breaker_states(spark, sf):
     return resilience.breaker_states(read(spark, sf, "events"), "user_id", "ts", F.col("event_type") == "error", "event_id")
 
@@ -549,6 +703,33 @@ def dlq_expire(spark, sf):
     return resilience.unexpired(rows, F.expr(NOW))
 
 
+@query("SELECT event_id, user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') AS taken FROM events WHERE event_type = 'error'")
+def dlq_retry(spark, sf):
+    """Letters whose document was stored meanwhile aren't inserted again."""
+    letters = read(spark, sf, "events").where("event_type = 'error'").select("event_id", "user_id")
+    again, taken = resilience.redriven(letters, read(spark, sf, "events").where("event_type = 'signup'"), "user_id")
+    return again.select("event_id", F.lit(False).alias("taken")).union(taken.select("event_id", F.lit(True)))
+
+
+@query(f"SELECT event_id, ts + INTERVAL 7 DAY AS expires_at FROM events WHERE event_type = 'error' AND ts + INTERVAL 7 DAY >= {NOW_SQL} + INTERVAL 1 DAY QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 500")
+def dlq_persist(spark, sf):
+    """A queue of 500 that was written and is read a day later."""
+    letters = read(spark, sf, "events").where(F.col("event_type") == "error").select("event_id", (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+    path, later = work_path(spark, "letters"), F.expr(NOW) + F.expr("INTERVAL 1 DAY")
+    resilience.keep_letters(letters.limit(0), path, F.expr(NOW), "event_id", 500)
+    resilience.keep_letters(letters.where(F.col("expires_at") >= later), path, F.expr(NOW), "event_id", 500)
+    return resilience.kept_letters(spark, path, later)
+
+
+@query("SELECT p_brand, count(*) > 0 AND bool_and(p_size < 50) AS ready FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') GROUP BY 1")
+def readiness(spark, sf):
+    """Two services, whose collections' breakers are open at size 50."""
+    size = F.col("p_size")
+    rows = read(spark, sf, "part").select("p_brand", F.when(size >= 50, "open").when(size >= 40, "half_open").otherwise("closed").alias("breaker"))
+    one, two = (resilience.ready(rows.where(F.col("p_brand") == b)).select(F.lit(b).alias("p_brand"), "ready") for b in ("Brand#11", "Brand#12"))
+    return one.union(two)
+
+
 @query("SELECT event_type, count(*) AS uploads, CAST(sum(length(props)) AS BIGINT) AS bytes, max(ts) AS last_snapshot, max(value) AS worst FROM events GROUP BY 1")
 def storage_rollup(spark, sf):
     rows = read(spark, sf, "events").select("event_type", F.lit(1).alias("uploads"), F.length("props").alias("bytes"), F.col("ts").alias("last_snapshot"), F.col("value").alias("worst"))
@@ -600,6 +781,15 @@ def embed_mock(spark, sf):
     return embedding.embed(read(spark, sf, "documents"), "doc_id", "text")
 
 
+@query("SELECT doc_id, 1000000::BIGINT AS norm, CAST(64 AS INTEGER) AS dim, min(doc_id) OVER (PARTITION BY text) AS same_as FROM documents")
+def embed_norms(spark, sf):
+    """Embeddings have norm 1, and equal ones belong to equal texts."""
+    from pyspark.sql import Window
+
+    rows = embedding.embed(read(spark, sf, "documents"), "doc_id", "text")
+    return rows.select("doc_id", micro(F.round(vectors.norm("embedding"), 5)).alias("norm"), vectors.dimension("embedding").alias("dim"), F.min("doc_id").over(Window.partitionBy("embedding")).alias("same_as"))
+
+
 @query("SELECT greatest(sum(CAST(floor(octet_length(encode(text)) / 4.0) AS BIGINT)), count(*))::BIGINT AS total_tokens FROM documents")
 def token_estimate(spark, sf):
     return embedding.token_estimate(read(spark, sf, "documents"), "text")
@@ -636,6 +826,16 @@ def tier_imbalance(spark, sf):
     return metrics.share(_states(spark, sf), F.col("tier") == "hot", 0.5).withColumn("share", micro("share"))
 
 
+@query(f"SELECT {_window_sql(60)} AS window_start, {_micro('sum(value) / 20000.0::DOUBLE')} AS share, sum(value) / 20000.0::DOUBLE > 0.85::DOUBLE AS firing FROM events GROUP BY 1")
+def memory_pressure(spark, sf):
+    return metrics.pressure(read(spark, sf, "events"), "ts", "value", 20_000, minutes=60).withColumn("share", micro("share"))
+
+
+@query(f"SELECT {_window_sql(60)} AS window_start, event_type, coalesce(sum(value) > 50 AND max(ts) > min(ts) AND regr_slope(value, epoch_us(ts) / 1e6::DOUBLE - 1700000000.0::DOUBLE) > 0, false) AS firing FROM events GROUP BY 1, 2")
+def dlq_growing(spark, sf):
+    return metrics.growing(read(spark, sf, "events"), "ts", "value", minutes=60, by=("event_type",)).select("window_start", "event_type", "firing")
+
+
 @query(f"SELECT {_window_sql(5)} AS window_start, event_type, {_micro('count(*) / 300::DOUBLE')} AS per_second FROM events GROUP BY 1, 2")
 def request_rate(spark, sf):
     return metrics.request_rates(read(spark, sf, "events"), "ts", by=("event_type",)).withColumn("per_second", micro("per_second"))

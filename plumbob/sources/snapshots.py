@@ -16,6 +16,10 @@ def _manifests(path: str) -> str:
     return f"{path}/manifests"
 
 
+def _removed(path: str) -> str:
+    return f"{path}/removed"
+
+
 def _data(path: str, snapshot_id: str) -> str:
     return f"{path}/data/{snapshot_id}"
 
@@ -70,11 +74,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Those that weren't removed."""
     from plumbob.schemas import SNAPSHOT
 
     if not exists(spark, _manifests(path)):
         return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).json(_manifests(path)).withColumn("format", F.coalesce("format", F.lit("json")))
+    rows = spark.read.schema(SNAPSHOT).json(_manifests(path)).withColumn("format", F.coalesce("format", F.lit("json")))
+    return rows.join(_gone(spark, path), "snapshot_id", "left_anti")
+
+
+def _gone(spark: SparkSession, path: str) -> DataFrame:
+    """``(snapshot_id)`` of removed snapshots."""
+    if not exists(spark, _removed(path)):
+        return spark.createDataFrame([], "snapshot_id string")
+    return spark.read.schema("snapshot_id string").json(_removed(path)).distinct()
 
 
 def listed(snapshots: DataFrame, collection_id: str | None = None) -> DataFrame:
@@ -107,17 +120,56 @@ def verified(spark: SparkSession, path: str, snapshot_id: str) -> bool:
 
 
 def remove(spark: SparkSession, path: str, snapshot_id: str) -> None:
-    """Delete a snapshot's data and take it off the list."""
-    manifest(spark, path, snapshot_id)
-    rest = manifests(spark, path).where(F.col("snapshot_id") != snapshot_id).collect()
-    from plumbob.schemas import SNAPSHOT
+    """Take a snapshot off the list, then delete its data.
 
-    _delete(spark, _manifests(path))
-    if rest:
-        spark.createDataFrame(rest, SNAPSHOT).coalesce(1).write.json(_manifests(path))
+    Manifests are never rewritten: a row that names the removed one is added.
+    If the removal is interrupted after it, ``sweep`` deletes the data.
+    """
+    manifest(spark, path, snapshot_id)
+    row = spark.range(1).select(F.lit(snapshot_id).alias("snapshot_id"))
+    row.coalesce(1).write.mode("append").json(_removed(path))
     _delete(spark, _data(path, snapshot_id))
 
 
+def sweep(spark: SparkSession, path: str) -> int:
+    """Delete what interrupted removals left; how many there were.  Ids are
+    read one at a time, as there may be many removed ones."""
+    count = 0
+    for row in _gone(spark, path).toLocalIterator():
+        if exists(spark, _data(path, row.snapshot_id)):
+            _delete(spark, _data(path, row.snapshot_id))
+            count += 1
+    return count
+
+
+# -------------------------------------------------------------- object stores
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, modified_at, bytes)`` of all files below a folder, without
+    their contents read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return rows.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"))
+
+
+def head(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of change (milliseconds) of a file."""
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        raise NotFound(f"{path} not found")
+    status = fs.getFileStatus(target)
+    return status.getLen(), status.getModificationTime()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file or folder, from one store to another as well."""
+    (a, x), (b, y) = _fs(spark, source), _fs(spark, target)
+    if not a.exists(x):
+        raise NotFound(f"{source} not found")
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, x, b, y, False, spark._jsc.hadoopConfiguration()):
+        raise StorageError(f"{source} wasn't copied")
+
+
 def interchange(docs: DataFrame, key: str = "doc_id", vector: str = "vector") -> DataFrame:
     """The columns of the exchange format; ids of 16 bytes, dimension beside."""
     have = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)

@@ -110,8 +110,12 @@ class Collection:
         self._append(rows.withColumn("type", F.lit("upsert")))
 
     def upsert(self, docs: DataFrame) -> None:
-        """Rows replace those of equal ids; of repeated ids one row stays."""
-        self._append(self._checked(docs).dropDuplicates(["doc_id"]).withColumn("type", F.lit("upsert")))
+        """Rows replace those of equal ids; of repeated ids the newest stays, of
+        equally new ones the largest."""
+        rows = self._checked(docs)
+        rest = ["inserted_at", *(c for c in DOCUMENT if c not in ("doc_id", "inserted_at"))]
+        last = rows.groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("_last")).select("doc_id", "_last.*")
+        self._append(last.select(*DOCUMENT).withColumn("type", F.lit("upsert")))
 
     def delete(self, keys: DataFrame, strict: bool = True) -> None:
         """Delete the documents of ``keys(doc_id)``; a missing one is an error if strict."""

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbob.operators.changelog import materialize
+from plumbob.operators.changelog import latest_changes, materialize
 from plumbob.operators.resilience import breaker_steps
+from plumbob.sources.snapshots import _delete
 from plumbob.sources.wal import parsed
 
 
@@ -19,13 +20,13 @@ def log_tail(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     return parsed(spark.readStream.option("maxFilesPerTrigger", files).text(path))
 
 
-def maintain_state(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", lsn: str = "lsn", kind: str = "type"):
+def maintain_state(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", lsn: str = "lsn", kind: str = "type", versions: int = 3):
     """Keep the last change of each key in ``path/<version>``, named by batch.
 
     A batch is merged with the state before it and written anew under its own
     number, so a repeated batch gives the same version and readers of the one
     before aren't disturbed.  Deletions stay as tombstones, for late changes of
-    smaller numbers.
+    smaller numbers.  The last ``versions`` are kept.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -33,8 +34,9 @@ def maintain_state(changes: DataFrame, path: str, checkpoint: str, key: str = "d
         rows = batch.where(F.col(kind).isin("upsert", "delete") & F.col(key).isNotNull())
         if number:
             rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(rows)
-        rest = [c for c in rows.columns if c != key]
-        rows.groupBy(key).agg(F.max_by(F.struct(*rest), lsn).alias("_r")).select(key, "_r.*").write.mode("overwrite").parquet(f"{path}/{number}")
+        latest_changes(rows, key, lsn, kind).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number >= versions:
+            _delete(spark, f"{path}/{number - versions}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

@@ -1,5 +1,6 @@
 """Tiering, resilience, metrics, embedding, streaming."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -152,3 +153,28 @@ def test_streamed_breaker(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert [r.state for r in spark.table("states").orderBy("t").collect()] == ["closed"] * 9 + ["open"] * 11
+
+
+@pytest.mark.parametrize("entries, chunks", [(1, 5), (7, 1), (7, 6), (40, 16)])
+def test_cache_is_the_sequential_one(spark, entries, chunks):
+    rng = random.Random(entries)
+    rows = [(i, rng.choice([None, *range(5), *range(30)])) for i in range(400)]
+    held, want = [], {}
+    for i, k in rows:
+        want[i] = k is not None and k in held
+        if k is not None:
+            held = [x for x in held if x != k][-(entries - 1) :] + [k] if entries > 1 else [k]
+    log = spark.createDataFrame(rng.sample(rows, len(rows)), "i long, k int")
+    got = resilience.cached_reads(log, "k", "i", entries, chunks)
+    assert got.columns == ["i", "k", "hit"] and {r.i: r.hit for r in got.collect()} == want
+    assert resilience.cached_reads(log.limit(0), "k", "i", entries, chunks).count() == 0
+
+
+def test_letters_are_kept_and_expire(spark, tmp_path):
+    path = str(tmp_path / "letters")
+    at = lambda day: F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp")
+    letters = spark.range(1, 11).select("id", F.expr("timestamp'2024-01-01' + make_dt_interval(int(id))").alias("expires_at"))
+    resilience.keep_letters(letters, path, at(1), "id", 6)
+    assert [r.id for r in resilience.kept_letters(spark, path, at(8)).orderBy("id").collect()] == [7, 8, 9, 10]
+    resilience.keep_letters(letters.where("id < 3"), path, at(1), "id", 6)
+    assert [r.id for r in resilience.kept_letters(spark, path, at(1)).orderBy("id").collect()] == [1, 2]

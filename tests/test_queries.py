@@ -22,9 +22,11 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", ["ann_ivf", "ann_lsh"])
 def test_ann_recall(spark, name):
-    exact = {(r.query_id, r.doc_id) for r in QUERIES["knn_batch"](spark, SF).collect()}
-    found = {(r.query_id, r.doc_id) for r in QUERIES[name](spark, SF).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+    exact = {(r.query_id, r.doc_id): r.score for r in QUERIES["knn_batch"](spark, SF).collect()}
+    rows = QUERIES[name](spark, SF).collect()
+    found = {(r.query_id, r.doc_id): r.score for r in rows}
+    assert len(found) == len(rows) and len(exact.keys() & found.keys()) / len(exact) >= 0.9
+    assert all(abs(exact[p] - found[p]) <= 1 for p in exact.keys() & found.keys())
 
 
 def test_breaker_and_embedding_rows(spark):

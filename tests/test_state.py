@@ -171,3 +171,71 @@ def test_schemas_parse(spark):
     for name in dir(schemas):
         if name.isupper():
             assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
+
+
+def test_equal_numbers_and_repeated_rows_are_determined(spark):
+    rows = [(1, "upsert", "a", 1), (1, "upsert", "a", 3), (1, "delete", "a", 9), (2, "upsert", "b", 5), (2, "delete", "b", 6), (3, "delete", "b", 7), (1, "upsert", "a", 2)]
+    for seed in range(3):
+        log = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), LOG).repartition(3)
+        assert as_state(changelog.materialize(log)) == {"a": (1, 3)}
+    with_map = spark.createDataFrame(rows, LOG).withColumn("m", F.create_map(F.lit("k"), "v"))
+    assert [(r.doc_id, r.v, r.m) for r in changelog.materialize(with_map).collect()] == [("a", 3, {"k": 3})]
+    current = spark.createDataFrame([("x", 0)], "doc_id string, v int")
+    for seed in range(3):
+        more = spark.createDataFrame(random.Random(seed).sample([("y", 2), ("y", 1), ("y", 3), ("x", 5)], 4), "doc_id string, v int").repartition(3)
+        assert sorted((r.doc_id, r.v) for r in collections.insert_unique(current, more).collect()) == [("x", 0), ("y", 1)]
+
+
+def test_interrupted_removal_loses_no_other_snapshot(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "doc_id long, vector array<double>")
+    path = str(tmp_path / "s")
+    a, b, c = (snapshots.create(docs, path, "c") for _ in range(3))
+
+    def broken(spark, target):
+        raise OSError("interrupted")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "_delete", broken)
+        with pytest.raises(OSError):
+            snapshots.remove(spark, path, b)
+    assert {r.snapshot_id for r in snapshots.manifests(spark, path).collect()} == {a, c}
+    assert snapshots.restore(spark, path, a, docs.schema).count() == 5 and not snapshots.verified(spark, path, b)
+    with pytest.raises(errors.NotFound):
+        snapshots.remove(spark, path, b)
+    assert snapshots.sweep(spark, path) == 1 and snapshots.sweep(spark, path) == 0
+    assert not (tmp_path / "s" / "data" / b).exists()
+    snapshots.remove(spark, path, a)
+    assert [r.snapshot_id for r in snapshots.manifests(spark, path).collect()] == [c]
+
+
+def test_files_of_a_store(spark, tmp_path):
+    source, target = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.range(10).coalesce(1).write.parquet(source)
+    snapshots.copy(spark, source, target)
+    assert spark.read.parquet(target).count() == 10
+    file = next((tmp_path / "b").glob("*.parquet"))
+    listed = {r.path.rpartition("/")[2]: r.bytes for r in snapshots.files(spark, target).collect()}
+    assert listed[file.name] == file.stat().st_size == snapshots.head(spark, str(file))[0]
+    for f in (lambda: snapshots.head(spark, target + "/none"), lambda: snapshots.copy(spark, target + "/none", source + "2")):
+        with pytest.raises(errors.NotFound):
+            f()
+
+
+def test_catalog_changes(spark):
+    kind = "key_id int, name string, updated_at timestamp"
+    base = spark.createDataFrame([(1, "a", None), (2, "b", None)], kind)
+    assert catalog.created(base, spark.createDataFrame([(3, "c", None)], kind), "key_id", ("name",)).count() == 3
+    for bad in [(1, "x", None)], [(4, "a", None)]:
+        with pytest.raises(errors.AlreadyExists):
+            catalog.created(base, spark.createDataFrame(bad, kind), "key_id", ("name",))
+    new = spark.createDataFrame([(2, None)], "key_id int, name string")
+    rows = {r.key_id: (r.name, r.updated_at is None) for r in catalog.updated(base, new, "key_id").collect()}
+    assert rows == {1: ("a", True), 2: (None, False)}
+    gone = spark.createDataFrame([(7,)], "key_id int")
+    with pytest.raises(errors.NotFound):
+        catalog.updated(base, gone.withColumn("name", F.lit("x")), "key_id")
+    with pytest.raises(errors.NotFound):
+        catalog.removed(base, gone, "key_id")
+    with pytest.raises(errors.AlreadyExists):
+        catalog.updated(base, new.union(new), "key_id")
+    assert [r.key_id for r in catalog.removed(base, new.select("key_id"), "key_id").collect()] == [1]

@@ -96,6 +96,64 @@ def test_recall_on_clusters(spark):
         ann.ann_cells(d, q, 5, "l2", "slow", key="doc_id")
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("cut", [False, True])
+def test_whole_probes_are_the_exact_search(spark, monkeypatch, metric, cut):
+    """All cells, or all buckets, probed: ties, hot cells and shares included."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6)).round(1)
+    x[30:60] = x[:1]  # one vector is a third of all
+    d = docs(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    q = d.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    if cut:
+        monkeypatch.setattr(ann, "PART_ROWS", 5)
+        monkeypatch.setattr(ann, "GROUP_NUMBERS", 60)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    want = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 9)) for r in search.top_k_batch(d, q, 7, metric, "doc_id").collect()}
+    for f, size in ((ann.ann_cells, ann.Cells(9, 9)), (ann.ann_planes, ann.Planes(2, 2, 4))):
+        got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 9)) for r in f(d, q, 7, metric, size, "doc_id").collect()}
+        assert got.keys() == want.keys() and all(abs(got[p][1] - want[p][1]) < 1e-8 for p in want)
+        assert sum(got[p][0] == want[p][0] for p in want) >= 0.98 * len(want)
+
+
+def test_odd_rows_of_approximate_search(spark):
+    d = docs(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, None)])
+    q = docs(spark, [(7, [1.0, 0.0]), (8, [1.0]), (9, None)]).withColumnRenamed("doc_id", "query_id")
+    for f in (ann.ann_cells, ann.ann_planes):
+        assert [(r.query_id, r["rank"], r.doc_id) for r in f(d, q, 3, "l2", key="doc_id").orderBy("rank").collect()] == [(7, 1, 1), (7, 2, 2)]
+        assert f(d.limit(0), q, 3, "l2", key="doc_id").count() == 0
+        assert f(d, q.limit(0), 3, "l2", key="doc_id").count() == 0
+        with pytest.raises(ValidationError):
+            f(d.union(docs(spark, [(4, [1.0])])), q, 3, "l2", key="doc_id")
+
+
+def test_fewer_cells_for_clusters(spark):
+    """What is searched follows the data and the wanted recall."""
+    rng = np.random.default_rng(2)
+    tight = np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + 0.01 * rng.normal(size=(2000, 16))
+    loose = rng.normal(size=(2000, 16))
+    few, many = (ann.cell_index(x, 2000, 10, V.Metric.L2, ann.Cells()) for x in (tight, loose))
+    assert few.count == many.count == 45 and few.probes < 10 < many.probes
+    assert ann.cell_index(tight, 10**8, 10, V.Metric.L2, ann.Cells()).count == 250  # as many as the sample bears
+    keys = [ann.plane_index(x, 2000, 10, V.Metric.L2, ann.Planes()) for x in (tight, loose)]
+    share = [k.probes / (1 << k.bits) for k in keys]
+    assert share[0] < share[1]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_pairwise_in_blocks(spark, monkeypatch, metric):
+    monkeypatch.setattr(V, "PAIR_BLOCK", 3)
+    rows = [(i, [float(i % 3), 1.0, float(i % 5)]) for i in range(20)] + [(30, [1.0]), (31, None), (32, [0.0, 0.0, 0.0]), (33, []), (34, [2.0])]
+    d = docs(spark, rows)
+    a, b = d.select(F.col("doc_id").alias("a"), F.col("embedding").alias("x")), d.select(F.col("doc_id").alias("b"), F.col("embedding").alias("y"))
+    want = {(r.a, r.b): r.s for r in a.join(b, F.col("a") < F.col("b")).select("a", "b", V.Metric.of(metric).score("x", "y").alias("s")).collect()}
+    rows = V.pairwise(d, "doc_id", "embedding", metric).collect()
+    got = {(r.a, r.b): r.score for r in rows}
+    assert len(rows) == len(got) == len(want) == 300
+    assert all((got[p] is None) == (want[p] is None) and (got[p] is None or abs(got[p] - want[p]) < 1e-9) for p in want)
+    assert V.pairwise(d.limit(0), "doc_id", "embedding", metric).count() == 0
+
+
 def test_pooling(spark):
     t = spark.createDataFrame([("a", 0, 1, [1.0, 2.0]), ("a", 1, 1, [3.0, 4.0]), ("a", 2, 0, [9.0, 9.0]), ("b", 5, 1, [7.0, 7.0])], "k string, pos int, m int, v array<double>")
     assert {r.k: r.v for r in V.mean_pooled(t, "k", "v", "m").collect()} == {"a": [2, 3], "b": [7, 7]}
