@@ -15,14 +15,19 @@ deviations of the beta posterior; so a host with few labels is rejected only if
 its whole domain is bad.
 
 The host is the lower-case name of a URL with a scheme, without user, port and
-trailing dot.  The suffix is the last label, or the last two if they are in
-``SUFFIXES``; the registered domain has one label more.  An IP address or a
-host that is itself a suffix is its own domain.
+trailing dot.  Its suffix is what the longest of the suffix rules covers, or the
+last label without one; the registered domain has one label more.  Rules are
+data, in the form of the public suffix list: ``co.uk``, ``*.ck`` (any one label
+before it), ``!www.ck`` (which isn't a suffix though ``*.ck`` covers it).
+``SUFFIXES`` has the most usual of them; a whole list can be given.  An IP
+address or a host that is itself a suffix is its own domain.
 
 Labels of null or unknown pages, or with both flags null, are ignored; of
 repeated labels a bad one counts, once; a repeated page counts as one page and
 is returned as often as it came.  Pages without a host (null, empty or relative
 URLs) are kept with null reputation.  Without any label all pages are kept.
+Very long URLs are read whole.  Other columns may have any names.  An empty
+table has no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +35,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm.common import free_name, require, table
+from plumbob.llm.common import free_name, require, shared_dir, table
 
 THRESHOLD = 0.35
 Z = 1.645
 RHO = (0.001, 0.5)
-#: Suffixes of two labels.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "com.br", "com.mx", "com.ar", "com.cn", "com.tr", "co.in", "co.za", "github.io")
+#: Usual suffixes of more than one label, by their last one, and those of hosting services.
+_KINDS = {
+    "ac co gov ltd me net nhs org plc police sch": "uk", "asn com edu gov id net org": "au", "ac co cri geek gen govt health iwi kiwi maori mil net org parliament school": "nz", "ac ad co ed go gr lg ne or": "jp", "ac co es go hs kg mil ms ne or pe re sc": "kr",
+    "art blog com edu eco gov ind inf jus leg mil net org": "br", "com edu gob net org": "mx", "com edu gob int mil net org tur": "ar", "ac com edu gov mil net org": "cn", "av bbs bel biz com dr edu gen gov info k12 mil name net org pol tel tv web": "tr",
+    "ac co edu firm gen gov ind mil net nic org res": "in", "ac agric alt co edu gov law mil net ngo nic nom org school web": "za", "ac co gov idf k12 muni net org": "il", "com edu gov net org per": "sg", "com edu gov idv net org": "hk", "club com ebiz edu game gov idv mil net org": "tw",
+    "ac co go in mi net or": "th", "ac biz co desa go mil my net or sch web": "id", "com edu gov mil name net org": "my", "com edu gov i mil net ngo org": "ph", "ac biz com edu gov health info int name net org pro": "vn", "com edu fam gob gok gon gop gos gov info net org web": "pk",
+    "com edu gov net org": "lk", "com edu eun gov mil name net org sci": "eg", "com edu gov med net org pub sch": "sa", "ac co gov mil net org sch": "ae", "com edu gob net nom org mil": "pe", "com edu gob gov mil net org": "co", "co com edu gob gov mil": "cl", "com edu fin gob gov info med mil net org": "ec",
+    "com edu gub mil net org": "uy", "co com e12 edu gob gov info int mil net org web": "ve", "com edu gov net ngo org": "ng", "ac co go info me mobi ne or sc": "ke", "ac co com go ne or sc": "ug", "com edu gov net org": "gr", "com edu gov in kiev kyiv net org": "ua", "com edu gov info net org waw": "pl",
+    "asso com gouv nom prd tm": "fr", "com edu gob nom org": "es", "com edu gov int net nome org publ": "pt", "ac co gv or": "at", "2000 agrar co film hotel info org": "hu", "com firm info nom nt org rec ro store tm www": "ro", "ac co edu gov in org": "rs", "ac com edu gov int mil msk net org pp spb": "ru",
+}
+SUFFIXES = tuple(f"{a}.{b}" for names, b in _KINDS.items() for a in names.split()) + (
+    "*.ck", "!www.ck", "*.bd", "*.np", "*.kh", "*.mm", "*.er", "*.fk", "*.pg", "*.kawasaki.jp", "!city.kawasaki.jp", "*.compute.amazonaws.com", "s3.amazonaws.com",
+    "github.io", "gitlab.io", "blogspot.com", "appspot.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "workers.dev", "web.app", "firebaseapp.com", "azurewebsites.net", "cloudfront.net", "wordpress.com", "tumblr.com", "weebly.com", "wixsite.com", "neocities.org", "readthedocs.io", "fly.dev", "onrender.com", "glitch.me", "us.com", "uk.com", "eu.org", "in.net",
+)
 #: Up to so many hosts the verdicts are sent to the tasks that hold pages.
 SENT_HOSTS = 500_000
 
@@ -48,14 +65,30 @@ def host_of(url: Column) -> Column:
     return F.when(name != "", name)
 
 
-def suffix_of(host: Column) -> Column:
-    last, two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
-    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*SUFFIXES), two).otherwise(last)
-
-
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(host.rlike(r"^[0-9.]+$"), host).when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def _rules(suffixes: tuple[str, ...]) -> tuple[list[str], list[str], list[str], int]:
+    """Plain rules, wildcards' ends, exceptions, and labels of the longest."""
+    plain = [r for r in suffixes if r[0] not in "*!"]
+    wild, kept = [r[2:] for r in suffixes if r.startswith("*.")], [r[1:] for r in suffixes if r[0] == "!"]
+    return plain, wild, kept, max([2, *(r.count(".") + 1 for r in suffixes)])
+
+
+def parts_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """``(suffix, registered domain)``."""
+    plain, wild, kept, most = _rules(suffixes)
+    end = lambda k: F.substring_index(host, ".", -k)
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    size = F.when(labels < 2, 1)
+    for k in range(most, 1, -1):
+        here = labels >= k
+        if kept:
+            size = size.when(here & end(k).isin(*kept), k - 1)
+        size = size.when(here & (end(k).isin(*plain) | end(k - 1).isin(*wild)), k)
+    size = size.otherwise(1)
+    suffix, domain = end(1), host
+    for k in range(1, most + 1):
+        suffix, domain = F.when(size == k, end(k)).otherwise(suffix), F.when(size == k, end(k + 1)).otherwise(domain)
+    number = host.rlike(r"^[0-9.]+$")
+    return F.when(number, host).otherwise(suffix), F.when(number, host).otherwise(domain)
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,13 +114,14 @@ def _shrunk(level: DataFrame, prior: DataFrame, key: str, rho: tuple[float, floa
     return out.select(key, "a", "b", (F.col("a") / (F.col("a") + F.col("b"))).alias("q"), "n", "bad")
 
 
-def reputation(pages: DataFrame, labels: DataFrame, rho: tuple[float, float] = RHO, z: float = Z) -> DataFrame:
+def reputation(pages: DataFrame, labels: DataFrame, rho: tuple[float, float] = RHO, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``(host, n, bad, mean, lower)`` of the hosts of all pages."""
     if not 0 < rho[0] <= rho[1] < 1:
         raise ValueError("0 < least rho <= largest rho < 1")
     counted = outcomes(pages, labels)
+    suffix, domain = parts_of(F.col("host"), suffixes)
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
-    hosts = hosts.join(counted, "host", "left").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad")).checkpoint()
+    hosts = hosts.join(counted, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad")).checkpoint()
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).checkpoint()
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).checkpoint()
     top = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("p")).select(F.lit(0).alias("up"), "p")
@@ -98,27 +132,26 @@ def reputation(pages: DataFrame, labels: DataFrame, rho: tuple[float, float] = R
     return h.select("host", "n", "bad", F.col("q").alias("mean"), (F.col("q") - z * F.sqrt(F.col("q") * (1 - F.col("q")) / (total + 1))).alias("lower"))
 
 
-def judged(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rho: tuple[float, float] = RHO, z: float = Z) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rho: tuple[float, float] = RHO, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``(page_id, host, n, bad, mean, lower, kept)``, a row for each page."""
-    from plumbob.llm.common import shared_dir
-
     require(pages, "page_id", "url")
     shared_dir(pages.sparkSession)
-    known = reputation(pages, labels, rho, z).checkpoint()
+    known = reputation(pages, labels, rho, z, suffixes).checkpoint()
     if known.count() <= SENT_HOSTS:
         known = F.broadcast(known)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host")).join(known, "host", "left")
     return rows.select("page_id", "host", "n", "bad", F.round("mean", 6).alias("mean"), F.round("lower", 6).alias("lower"), F.coalesce(F.round("lower", 6) <= threshold, F.lit(True)).alias("kept"))
 
 
-def filtered(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pages that are kept, with their columns."""
-    from plumbob.llm.common import shared_dir
-
+def filtered(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """The pages that are kept, with their columns; pages aren't shuffled while
+    the rejected hosts are few."""
     require(pages, "page_id", "url")
     shared_dir(pages.sparkSession)
     name = free_name(pages, "rejected_host")
-    bad = reputation(pages, labels).where(F.round("lower", 6) > threshold).select(F.col("host").alias(name))
+    bad = reputation(pages, labels, suffixes=suffixes).where(F.round("lower", 6) > threshold).select(F.col("host").alias(name)).checkpoint()
+    if bad.count() <= SENT_HOSTS:
+        bad = F.broadcast(bad)
     return pages.join(bad, host_of(pages["url"]) == bad[name], "left_anti")
 
 
@@ -127,9 +160,13 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    two = "array_to_string(list_slice(parts, -2, -1), '.')"
-    three = "array_to_string(list_slice(parts, -3, -1), '.')"
-    known = ", ".join(f"'{s}'" for s in SUFFIXES)
+    plain, wild, kept, most = _rules(SUFFIXES)
+    quoted = lambda rules: ", ".join(f"'{r}'" for r in rules)
+    end = lambda k: f"array_to_string(list_slice(parts, -{k}, -1), '.')"
+    size = "CASE WHEN len(parts) < 2 THEN 1"
+    for k in range(most, 1, -1):
+        size += f" WHEN len(parts) >= {k} AND {end(k)} IN ({quoted(kept)}) THEN {k - 1} WHEN len(parts) >= {k} AND ({end(k)} IN ({quoted(plain)}) OR {end(k - 1)} IN ({quoted(wild)})) THEN {k}"
+    size += " ELSE 1 END"
 
     def level(name: str, key: str, source: str, prior: str) -> str:
         return f"""
@@ -143,9 +180,9 @@ p AS (SELECT page_id, nullif(h, '') AS host FROM u),
 k AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels WHERE doc_id IS NOT NULL AND coalesce(toxic, quality) IS NOT NULL GROUP BY 1),
 c AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM (SELECT DISTINCT page_id, host FROM p WHERE host IS NOT NULL) x JOIN k ON k.doc_id = x.page_id GROUP BY 1),
 q AS (SELECT DISTINCT host, string_split(host, '.') AS parts FROM p WHERE host IS NOT NULL),
-hosts AS (SELECT q.host, CASE WHEN regexp_matches(q.host, '^[0-9.]+$') THEN q.host WHEN {two} IN ({known}) THEN {three} ELSE {two} END AS up,
-  CASE WHEN regexp_matches(q.host, '^[0-9.]+$') THEN q.host WHEN {two} IN ({known}) THEN {two} ELSE parts[-1] END AS suffix,
-  coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad FROM q LEFT JOIN c ON c.host = q.host),
+t AS (SELECT host, parts, CAST({size} AS INTEGER) AS k, regexp_matches(host, '^[0-9.]+$') AS number FROM q),
+hosts AS (SELECT q.host, CASE WHEN number THEN q.host ELSE array_to_string(list_slice(parts, -(k + 1), -1), '.') END AS up, CASE WHEN number THEN q.host ELSE array_to_string(list_slice(parts, -k, -1), '.') END AS suffix,
+  coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad FROM t q LEFT JOIN c ON c.host = q.host),
 domains AS (SELECT up AS domain, any_value(suffix) AS up, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1),
 suffixes AS (SELECT up AS suffix, 0 AS up, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
 p0 AS (SELECT 0 AS up, (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS p FROM suffixes),{level("s", "suffix", "suffixes", "p0")},
