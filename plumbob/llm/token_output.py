@@ -1,7 +1,8 @@
 """Operator 10 - token ids as Parquet lists for selective reads.
 
 Documents are tokenised by a public byte-level BPE (its vocabulary file is a
-parameter and must be readable by all executors) and written in the order of
+parameter and must be readable by all executors), or come with ready ids
+(``store_ids``), and are written in the order of
 ``doc_id``: files hold ranges of ids, sorted, in row groups of at most
 ``GROUP_BYTES`` and pages of at most ``PAGE_ROWS`` documents.  Token ids are a
 list column with dictionary encoding (the dictionary page holds 2**18 ids, so
@@ -140,5 +141,16 @@ def tokens_of(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_byt
     return read_tokens(docs.sparkSession, path)
 
 
+def store_ids(encoded: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """The same for ready ids, such as the SentencePiece operator's: write rows
+    that have ``doc_id`` and ``token_ids`` and return the dataset."""
+    require(encoded, "doc_id", "token_ids")
+    other = [c for c in encoded.columns if c.lower() not in ("doc_id", "token_ids", "n_tokens", "text")]
+    ids = F.col("token_ids").cast("array<int>")
+    rows = encoded.select("doc_id", *other, F.when(ids.isNotNull(), F.size(ids)).alias("n_tokens"), ids.alias("token_ids"))
+    write_tokens(in_order(rows, file_bytes), path)
+    return read_tokens(encoded.sparkSession, path)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_of(table(spark, sf_dir, "documents"), work_path(spark, "tokens"))

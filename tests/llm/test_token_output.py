@@ -69,3 +69,16 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = T.op10_token_output(spark, SF).collect()
     assert len(got) == len(texts) and all(r.token_ids == encoding.encode_ordinary(texts[r.doc_id]) for r in got)
+
+
+def test_ready_ids(spark, tmp_path):
+    """SentencePiece ids, whole and in order, with null and empty texts."""
+    from plumbob.llm import pieces
+
+    docs = odd.documents(spark).where("doc_id IS NULL OR doc_id <> 7")
+    encoded = pieces.encode(docs)
+    want = sorted(((r.doc_id, r.token_ids, r.n_tokens) for r in encoded.collect()), key=repr)
+    got = T.store_ids(encoded, str(tmp_path / "t"), 1 << 12)
+    assert got.columns == ["doc_id", "restored", "n_tokens", "token_ids"]
+    assert sorted(((r.doc_id, r.token_ids, r.n_tokens) for r in got.collect()), key=repr) == want
+    assert T.store_ids(encoded.limit(0), str(tmp_path / "e")).count() == 0
