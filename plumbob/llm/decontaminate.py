@@ -15,7 +15,9 @@ texts that share one are sent to where their items are.
 Null ids or texts, in either table, take no part; an item of fewer than SEED
 words is found if a text has all its words in a row; one without words is
 never found.  Repeated items or documents each have their rows, without
-repetition of equal (doc_id, item_id).
+repetition of equal rows.  Texts and items are compared whole, however long;
+columns other than ids and texts aren't read, whatever their names; an empty
+table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -132,13 +134,23 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
 
-def _seeds(key: str, least: int):
+def _lengths(least: int):
+    """The seeds' lengths that items have: up to ``least`` different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {min(least, len(words)) for b in batches for _, words in each_words(b.column("text")) if len(words)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["n"])
+
+    return run
+
+
+def _seeds(key: str, least: int, lengths: list[int] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, seeds = [], []
             keys = b.column(key).to_numpy(zero_copy_only=False)
             for r, words in each_words(b.column("text")):
-                for n in range(1, least + 1) if key == "doc_id" else [min(least, len(words))]:
+                for n in lengths if lengths is not None else [min(least, len(words))]:
                     g = np.unique(gram_hashes(words, n)) if n else np.zeros(0, np.uint64)
                     seeds.append(g.view(np.int64))
                     ids.append(np.full(len(g), keys[r], np.int64))
@@ -168,7 +180,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     if _fits(items, sent_words):
         known = Items([(r.item_id, r.text) for r in items.collect()], least)
         return texts.mapInArrow(_match_all(known, coverage), SCHEMA).distinct()
-    a = texts.mapInArrow(_seeds("doc_id", least), "doc_id long, seed long")
+    lengths = [r.n for r in items.mapInArrow(_lengths(least), "n int").distinct().collect()]
+    a = texts.mapInArrow(_seeds("doc_id", least, lengths), "doc_id long, seed long")
     b = items.mapInArrow(_seeds("item_id", least), "item_id long, seed long")
     near = a.join(b, "seed").select("doc_id", "item_id").distinct()
     pairs = near.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
@@ -185,7 +198,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     """The rows of ``docs`` that hold no benchmark item, with their columns.
 
     Each row is judged by its own text; rows with a null id or text stay.  Where
-    the items can be sent to the tasks, no row is shuffled.
+    the items can be sent to the tasks, no row is shuffled.  Beyond that texts
+    are known by 64-bit hashes: a clean text goes with a leaking one of the same
+    hash, once in 2**64 pairs.
     """
     require(docs, "doc_id", "text")
     text = F.col("text").cast("string")
