@@ -26,7 +26,9 @@ works the same.
 
 As SentencePiece does, spaces become U+2581, a leading one is added, and
 characters without a piece become byte pieces; an empty text has no pieces.
-Null texts have null ids.  Rows, repeated or with null ids, are kept.  Decoding
+Null texts have null ids.  Rows, repeated or with null ids, are kept; columns
+other than ``doc_id`` and ``text``, whatever their names, aren't passed on; an
+empty table gives no rows.  A model that isn't BPE is an error.  Decoding
 restores every text but for U+2581 itself, which becomes a space.
 """
 
@@ -95,6 +97,8 @@ class Vocabulary:
                 self.ids[piece] = i
                 self.score[piece] = sp.get_score(i)
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
+        if any(x != int(x) for x in self.score.values()):
+            raise ValueError(f"{path} isn't a BPE model: merges have whole numbers as scores")
         self.longest = max(map(len, self.ids))
         self.reach: dict[str, int] = {}  # longest piece of each two first characters
         for p in self.ids:

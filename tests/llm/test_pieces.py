@@ -62,6 +62,18 @@ def test_scan_is_associative():
         assert np.allclose(a, b) or ((a == b) | np.isclose(a, b)).all()
 
 
+def test_other_models_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Unigram(sentencepiece.SentencePieceProcessor):
+        def get_score(self, i):
+            return -i / 7
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError):
+        P.Vocabulary(P.MODEL)
+
+
 def test_memo_is_bounded(vocabulary, library, monkeypatch):
     monkeypatch.setattr(P, "MEMO", 20)
     rng, seg = random.Random(2), P.Segmenter(vocabulary)
