@@ -86,17 +86,20 @@ def random_strings(count: int = 6000, seed: int = 7) -> list[str]:
 
 def identifiers(words: list[str], count: int = 6000, seed: int = 11) -> list[str]:
     """Labelled sample of identifiers: names of one to four words in snake,
-    kebab, camel or path spelling, some with a number."""
+    kebab, camel, path or constant spelling, some with a number."""
     rng = random.Random(seed)
     names = sorted({p for m in [*sys.stdlib_module_names, *keyword.kwlist, *dir(str), *dir(np)] for p in re.split(r"[\W_0-9]+", m) if len(p) > 1})
     words = sorted({w for w in words if w.isascii() and w.isalpha()})
     out = []
     for _ in range(count):
         parts = [rng.choice(words if words and rng.random() < 0.5 else names) for _ in range(rng.randint(1, 4))]
-        style = rng.randrange(5)
-        s = "_-/"[style].join(p.lower() for p in parts) if style < 3 else "".join(p.title() for p in parts) if style == 3 else parts[0].lower() + "".join(p.title() for p in parts[1:])
+        style = rng.randrange(6)
+        if style < 3:
+            s = "_-/"[style].join(p.lower() for p in parts)
+        else:
+            s = "".join(p.title() for p in parts) if style == 3 else parts[0].lower() + "".join(p.title() for p in parts[1:]) if style == 4 else "_".join(p.upper() for p in parts)
         if rng.random() < 0.25:
-            s += ("_" if style == 0 else "-" if style == 1 else "") + str(rng.randint(0, 2024))
+            s += ("_" if style in (0, 5) else "-" if style == 1 else "") + str(rng.randint(0, 2024))
         out.append(s)
     return out
 
