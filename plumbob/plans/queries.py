@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbob.functions import embedding, vectors
 from plumbob.functions.vectors import Metric
-from plumbob.operators import ann, catalog, changelog, collections, metrics, resilience, search, tiering
+from plumbob.operators import ann, catalog, changelog, collections, graph, metrics, resilience, search, tiering
 from plumbob.sources import imports, snapshots, wal
 from plumbob.store import Store
 from plumbob.workdir import work_path
@@ -264,6 +264,14 @@ def ann_stored_recall(spark, sf):
     return _recall_reached(spark, sf, ann.search_cells(spark, path, _all_queries(spark, sf), K))
 
 
+@query(RECALL_SQL)
+def ann_graph_recall(spark, sf):
+    """Neighbour graphs that were built and stored before they are searched."""
+    path = work_path(spark, "graph")
+    graph.build(read(spark, sf, "embeddings"), path, "edge_cache")
+    return _recall_reached(spark, sf, graph.search(spark, path, _all_queries(spark, sf), K, 64))
+
+
 @query("SELECT vec_id % 4 AS collection_id, count(*) AS access_count FROM embeddings GROUP BY 1")
 def search_accesses(spark, sf):
     """Searches leave accesses that the tiers' statistics count."""
