@@ -59,8 +59,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def normalized(v: Column | str) -> Column:
     """The vector over its norm; a zero vector is left as it is."""
-    v, n = column(v).cast("array<double>"), norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    v = column(v).cast("array<double>")
+    # the norm is bound once, not computed anew for each element
+    return F.transform(F.array(norm(v)), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))[0]
 
 
 def cosine_of_distance(distance: Column | str) -> Column:

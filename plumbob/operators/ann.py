@@ -31,7 +31,7 @@ from plumbob.operators.search import QUERY_BLOCK, checked_k
 SAMPLE, ASKED = 20_000, 200
 #: Numbers of a group's vectors, and vectors of an undivided cell.
 GROUP_NUMBERS, PART_ROWS = 4_000_000, 50_000
-MOST_CELLS = 4096
+MOST_CELLS, MOST_PROBES = 4096, 64
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,15 @@ def preset(name: str, kind: dict):
     return kind[name]
 
 
+def _points(vectors: pa.ChunkedArray | pa.Array, metric: Metric) -> np.ndarray:
+    """Vectors as they are compared: for cosine with norm 1, but for zero ones."""
+    x = _array(vectors)
+    if metric is Metric.COSINE:
+        norm = np.linalg.norm(x, axis=1)[:, None]
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return x
+
+
 def _array(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column of one length as a matrix."""
     if isinstance(vectors, pa.ChunkedArray):
@@ -117,18 +126,28 @@ class PlaneIndex:
         sign = (v @ self.planes > 0).reshape(len(v), self.tables, self.bits)
         return sign @ (1 << np.arange(self.bits)) + self.base
 
+    def flips(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """The bits to change in each query's keys, smallest projections first."""
+        masks = np.arange(1 << self.bits)
+        on = ((masks[:, None] >> np.arange(self.bits)) & 1).astype(float)
+        if self.bits > 6:  # of longer keys at most three bits are changed
+            few = on.sum(1) <= 3
+            masks, on = masks[few], on[few]
+        margin = np.abs(q @ self.planes).reshape(len(q), self.tables, self.bits)
+        return masks[np.argsort(margin @ on.T, axis=2, kind="stable")[:, :, :probes]]
+
     def probed(self, q: np.ndarray) -> np.ndarray:
         own = self.cells(q) - self.base
-        margin = np.abs(q @ self.planes).reshape(len(q), self.tables, self.bits)
-        masks = np.arange(1 << self.bits)
-        cost = margin @ ((masks[:, None] >> np.arange(self.bits)) & 1).T.astype(float)
-        flip = np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]
-        return ((own[:, :, None] ^ flip) + self.base[:, None]).reshape(len(q), -1)
+        out = [np.zeros((0, self.tables * self.probes), np.int64)]
+        for i in range(0, len(q), QUERY_BLOCK):
+            part = slice(i, i + QUERY_BLOCK)
+            out.append(((own[part, :, None] ^ self.flips(q[part], self.probes)) + self.base[:, None]).reshape(len(own[part]), -1))
+        return np.concatenate(out)
 
 
-def _sample(v: DataFrame) -> np.ndarray:
+def _sample(v: DataFrame, metric: Metric) -> np.ndarray:
     rows = v.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("v").toArrow().column("v")
-    return _array(rows)
+    return _points(rows, metric)
 
 
 def _truth(x: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +193,17 @@ def plane_index(x: np.ndarray, rows: int, k: int, metric: Metric, size: Planes,
     asked, near = _truth(x, k, metric)
     best = None
     for bits in range(1, most + 1):
-        for probes in [size.probes] if size.probes else [p for p in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64) if p <= 1 << bits]:
-            index = PlaneIndex(planes, size.tables, bits, probes)
-            hit = (index.probed(x[asked])[:, None, :, None] == index.cells(x)[near][:, :, None, :]).any((2, 3)).mean()
-            work = size.tables * probes / (1 << bits)
-            if hit >= size.recall and (best is None or work < best[0]):
-                best = (work, index)
-                break
-    return best[1] if best else PlaneIndex(planes, 1, 1, 2)  # everything
+        index = PlaneIndex(planes, size.tables, bits, 1)
+        keys = index.cells(x) - index.base
+        apart = keys[asked][:, None, :] ^ keys[near]  # the bits that differ, by table
+        same = index.flips(x[asked], min(MOST_PROBES, 1 << bits))[:, None] == apart[:, :, :, None]
+        first = np.where(same.any(3), same.argmax(3), MOST_PROBES).min(2)  # probes until one table has the pair
+        needed = np.sort(first.ravel())[min(first.size - 1, int(np.ceil(size.recall * first.size)))] + 1
+        probes = size.probes or int(needed)
+        work = size.tables * probes / (1 << bits)
+        if probes >= needed and needed <= MOST_PROBES and (best is None or work < best[0]):
+            best = (work, bits, probes)
+    return PlaneIndex(planes, size.tables, *best[1:]) if best else PlaneIndex(planes, 1, 1, 2)  # everything
 
 
 # ------------------------------------------------------------------ the join
@@ -201,7 +223,7 @@ def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _array(b.column("v"))
+            x = _points(b.column("v"), metric)
             cells = b.column("cell").to_numpy().astype(np.int64)[:, None] if stored else index.cells(x)
             part = b.column("h").to_numpy()[:, None] % parts[cells]
             row = np.repeat(np.arange(len(x)), cells.shape[1] * shares)
@@ -211,18 +233,20 @@ def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim:
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _array(b.column("q"))
+            x = _points(b.column("q"), metric)
             share = b.column("h").to_numpy() % shares
-            row, group, slots = [], [], []
-            for r, cells in enumerate(index.probed(x)):
-                at = np.concatenate([np.arange(first[c], first[c + 1]) for c in cells])
-                own = at % groups
-                for g in np.unique(own).tolist():
-                    row.append(r)
-                    group.append(g * shares + int(share[r]))
-                    slots.append(at[own == g])
-            lengths = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(slots or [np.zeros(0, np.int64)]))), b.column("query_id").take(pa.array(row, pa.int64())), _lists(x[np.array(row, np.int64)])], ["g", "slots", "query_id", "q"])
+            cells = index.probed(x)
+            many = parts[cells]  # each part of a probed cell is a slot to visit
+            row = np.repeat(np.arange(len(x)), many.sum(1))
+            flat, count = cells.ravel(), many.ravel()
+            at = np.repeat(first[flat], count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            group = at % groups
+            order = np.lexsort((at, group, row))
+            row, group, at = row[order], group[order], at[order]
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1]))) if len(row) else np.zeros(0, np.int64)
+            lengths = np.append(new, len(row)).astype(np.int32)
+            row, group = row[new], group[new]
+            yield pa.RecordBatch.from_arrays([pa.array(group * shares + share[row]), pa.ListArray.from_arrays(pa.array(lengths), pa.array(at)), b.column("query_id").take(pa.array(row)), _lists(x[row])], ["g", "slots", "query_id", "q"])
 
     def meet(asking: pa.Table, y: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": asking.column("query_id").slice(0, 0), "doc_id": y.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
@@ -279,18 +303,14 @@ def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim:
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _unit(vector: str, metric: Metric):
-    return normalized(vector) if metric is Metric.COSINE else F.col(vector).cast("array<double>")
-
-
 def _fitted(docs: DataFrame, key: str, vector: str, metric: Metric):
     """``(doc_id, v)`` of the vectors of one dimension, how many they are, the
     dimension and a sample."""
-    v = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), _unit(vector, metric).alias("v"))
+    v = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
     size = v.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("d")).first()
     if size.low != size.d:
         raise ValidationError(f"vectors of dimensions {size.low} to {size.d}")
-    return v, size.n, size.d or 0, _sample(v)
+    return v, size.n, size.d or 0, _sample(v, metric)
 
 
 def _fill(index, x: np.ndarray) -> np.ndarray:
@@ -302,7 +322,7 @@ def _search(docs, queries, k, metric, size, key, vector, build) -> DataFrame:
     checked_k(k)
     metric = Metric.of(metric)
     v, rows, dim, x = _fitted(docs, key, vector, metric)
-    q = queries.where(F.size(vector) == dim).select("query_id", _unit(vector, metric).alias("q"))
+    q = queries.where(F.size(vector) == dim).select("query_id", F.col(vector).cast("array<double>").alias("q"))
     if not rows:
         return q.crossJoin(v).select("query_id", F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)
     index = build(x, rows, k, metric, size)
@@ -336,7 +356,7 @@ def build_cells(docs: DataFrame, path: str, size: Cells | str = "balanced", metr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _array(b.column("v"))
+            m = _points(b.column("v"), metric)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(m), pa.array(index.cells(m)[:, 0].astype(np.int32))], ["doc_id", "v", "cell"])
 
     docs.sparkSession.createDataFrame([(i, c.tolist(), float(f), index.probes) for i, (c, f) in enumerate(zip(index.centres, fill))], "cell int, centre array<double>, fill double, probes int").coalesce(1).write.parquet(f"{path}/centres")
@@ -354,12 +374,12 @@ def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, pro
     known = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
     index = CellIndex(np.array([r.centre for r in known]), probes or known[0].probes, metric)
     dim = index.centres.shape[1]
-    q = queries.where(F.size(vector) == dim).select("query_id", _unit(vector, metric).alias("q"))
+    q = queries.where(F.size(vector) == dim).select("query_id", F.col(vector).cast("array<double>").alias("q"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(index.probed(_array(b.column("q")))).astype(np.int32))], ["cell"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(index.probed(_points(b.column("q"), metric))).astype(np.int32))], ["cell"])
 
     cells = sorted(r.cell for r in q.mapInArrow(wanted, "cell int").distinct().collect())  # at most one a centre
     v = spark.read.parquet(f"{path}/cells")
