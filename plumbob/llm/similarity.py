@@ -40,7 +40,7 @@ from plumbob.llm.common import components, each_words, gram_set, key_text, mix,
 #: (set) -> its signatures
 Signer = Callable[[np.ndarray], np.ndarray]
 #: Sets and n-grams of a part of a block; a task compares two parts at most.
-PART_SETS, PART_GRAMS = 2000, 4_000_000
+PART_SETS, PART_GRAMS = 2000, 1_000_000
 #: Up to so many documents the list of those to compare is sent to the tasks
 #: that scan the texts (8 bytes each); beyond it a shuffled semi-join finds them.
 SENT_IDS = 2_000_000
@@ -60,6 +60,7 @@ def _sets(n: int):
                     grams = gram_set(words, n)
                     sets[r], size[r] = set_id(grams), len(grams)
             yield pa.RecordBatch.from_arrays([pa.array(sets, mask=size == 0), b.column("doc_id"), pa.array(size)], ["set_id", "doc_id", "size"])
+        trim()
 
     return run
 
@@ -166,6 +167,7 @@ def _grams(n: int, wanted: np.ndarray | None):
                     sets.append(set_id(grams))
                     data.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "set_id", "grams"])
+        trim()
 
     return run
 
@@ -254,6 +256,8 @@ def _counted(threshold: float):
         np.add.at(links, a[own], weights[b[own]])
         np.add.at(links, b[own], weights[a[own]])
         root = _forest(len(sets), a, b)
+        if len(group) > 500:
+            trim()
         keep = np.flatnonzero((links > 0) | (root != np.arange(len(sets))))
         # of the tree's edges both ends are sets, whose order is that of positions
         return pa.table({"set_id": pa.array(sets[keep]), "rep": pa.array(reps[keep]), "links": pa.array(links[keep]), "to": pa.array(reps[root[keep]])})
