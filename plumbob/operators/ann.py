@@ -3,7 +3,8 @@
 Both give at most k rows for each query, scored exactly; what is approximate is
 which vectors are looked at.  A preset names the recall that is wanted.  How
 much has to be searched for it is measured on a bounded sample before the
-search: clustered vectors need a few cells, nearly random ones most of them.
+search: clustered vectors need a few cells; nearly random ones need most of
+them, and then the search is exact, which does less.
 
 Both run the same join.  A vector lies in cells (one, or one for each hash
 table), a query probes some; cells are gathered in groups of bounded size, and
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from plumbob.errors import ValidationError
 from plumbob.functions.vectors import Metric, closeness, normalized
-from plumbob.operators.search import QUERY_BLOCK, checked_k
+from plumbob.operators.search import QUERY_BLOCK, checked_k, top_k_batch
 
 #: Vectors that the centres and probes are fitted on, at most (those of the
 #: smallest hashes of their keys), and how many of them are taken as queries.
@@ -99,6 +100,10 @@ class CellIndex:
         self.centres, self.probes, self.metric = centres, min(probes, len(centres)), metric
         self.count = len(centres)
 
+    def share(self) -> float:
+        """About how much of the vectors a query is compared with."""
+        return self.probes / self.count
+
     def order(self, q: np.ndarray) -> np.ndarray:
         """The cells of each query, best first."""
         product = q @ self.centres.T
@@ -126,6 +131,9 @@ class PlaneIndex:
         sign = (v @ self.planes > 0).reshape(len(v), self.tables, self.bits)
         return sign @ (1 << np.arange(self.bits)) + self.base
 
+    def share(self) -> float:
+        return self.tables * self.probes / (1 << self.bits)
+
     def flips(self, q: np.ndarray, probes: int) -> np.ndarray:
         """The bits to change in each query's keys, smallest projections first."""
         masks = np.arange(1 << self.bits)
@@ -326,6 +334,8 @@ def _search(docs, queries, k, metric, size, key, vector, build) -> DataFrame:
     if not rows:
         return q.crossJoin(v).select("query_id", F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)
     index = build(x, rows, k, metric, size)
+    if not size.probes and index.share() > 0.5:  # exact search does less then
+        return top_k_batch(v, q, k, metric, "doc_id", "v", vector_of_queries="q")
     return _joined(v, q, index, _fill(index, x), rows, dim, k, metric)
 
 

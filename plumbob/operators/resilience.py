@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections import OrderedDict, deque
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,16 +82,31 @@ def breaker_steps(times: list[float], failed: list[bool], state: dict | None = N
 
 
 def breaker_states(log: DataFrame, key: str, ts: str, failed: Column, order: str) -> DataFrame:
-    """``(key, order, state)``: each backend's breaker after each request."""
-    rows = log.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), failed.alias("bad"))
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
+    """``(key, order, state)``: each backend's breaker after each request, in
+    the order of time, then of ``order``.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t", order])
-        states, _ = breaker_steps(f.t.tolist(), f.bad.tolist())
-        return pd.DataFrame({key: f[key], order: f[order], "state": states})
+    A backend's requests are a sequence; they stream through one task, sorted,
+    and only the window's requests are held.
+    """
+    rows = log.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), failed.cast("boolean").alias("bad"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), None
+        for b in batches:
+            keys, times, bad = (b.column(c).to_pylist() for c in (key, "t", "bad"))
+            states, i = [], 0
+            while i < len(keys):
+                j = i + 1
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                some, state = breaker_steps(times[i:j], bad[i:j], state if keys[i] == current else None)
+                states += some
+                current, i = keys[i], j
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column(order), pa.array(states, pa.string())], [key, order, "state"])
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "t", order)
+    return ordered.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string")
 
 
 def newest(letters: DataFrame, order: str, size: int = DEAD_LETTERS) -> DataFrame:

@@ -95,7 +95,7 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in vectors])
 
 
-def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", vector_of_queries: str | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of the k closest to each query; ties
     by doc_id.  Vectors that are null or of another length are left out.
 
@@ -106,7 +106,8 @@ def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | st
     """
     checked_k(k)
     metric = Metric.of(metric)
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("query_id"), F.col(vector).alias("q"))
+    asked = vector_of_queries or vector
+    q = queries.where(F.col(asked).isNotNull()).select(F.col(query_key).alias("query_id"), F.col(asked).alias("q"))
     size = q.agg(F.count("*").alias("n"), F.min(F.size("q")).alias("low"), F.max(F.size("q")).alias("d")).first()
     if size.low != size.d:
         raise ValidationError(f"queries of dimensions {size.low} to {size.d}")
