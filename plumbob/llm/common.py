@@ -55,7 +55,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small: texts may be long and workers' memory is not."""
+    """Keep Arrow batches small: texts may be long and workers' memory is not.
+
+    The two settings stay with the session, as plans run after this returns;
+    other queries of the session get such batches, too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
