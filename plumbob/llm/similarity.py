@@ -41,6 +41,8 @@ from plumbob.llm.common import components, each_words, gram_set, key_text, mix,
 Signer = Callable[[np.ndarray], np.ndarray]
 #: Sets and n-grams of a part of a block; a task compares two parts at most.
 PART_SETS, PART_GRAMS = 2000, 1_000_000
+#: Numbers of the matrix that tells which sets have the n-grams of many sets.
+DENSE = 2_000_000
 #: Up to so many documents the list of those to compare is sent to the tasks
 #: that scan the texts (8 bytes each); beyond it a shuffled semi-join finds them.
 SENT_IDS = 2_000_000
@@ -175,39 +177,60 @@ def _grams(n: int, wanted: np.ndarray | None):
 def compare(grams: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs of sets of a Jaccard similarity of ``threshold`` at least:
     positions and similarity.  Exact.  With ``left``, a mask, only pairs of one
-    set in it and one outside."""
+    set in it and one outside.
+
+    N-grams of one set only can't be shared and are left out; those of many
+    sets, of which near copies consist, are counted by a product of matrices,
+    the others by lists of the sets that have them.
+    """
     size = np.array([len(g) for g in grams], np.int64)
     order = np.argsort(size, kind="stable")
     rows = order if left is None else order[left[order]]
     cols = order if left is None else order[~left[order]]
+    none = np.zeros(0, np.int64)
+    if not len(rows) or not len(cols):
+        return none, none, np.zeros(0)
+    _, feature, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(grams)), size)
+    often = np.flatnonzero(count > max(8, len(grams) // 64))
+    often = often[np.argsort(-count[often], kind="stable")][: DENSE // len(grams)]  # most sets first, as many as memory allows
+    place = np.full(len(count), -1, np.int32)
+    place[often] = np.arange(len(often))
+    at = place[feature]
+    dense = np.zeros((len(grams), len(often)), np.float32)
+    dense[owner[at >= 0], at[at >= 0]] = 1
+    rare = (at < 0) & (count[feature] > 1)
+    feature, owner = feature[rare], owner[rare]
+    begin_of = np.searchsorted(owner, np.arange(len(grams) + 1))
+    wide = size[cols]
+    position = np.full(len(grams), -1, np.int64)
+    position[cols] = np.arange(len(cols))
+    post = position[owner]
+    by_feature = np.argsort(np.where(post >= 0, feature, len(count)), kind="stable")[: int((post >= 0).sum())]
+    listed, post = feature[by_feature], post[by_feature]  # which columns have an n-gram
+    across = np.ascontiguousarray(dense[cols].T)
     a, b, j = [], [], []
-    if len(rows) and len(cols):
-        flat = np.concatenate([grams[i] for i in cols])
-        known, feature = np.unique(flat, return_inverse=True)
-        at = np.concatenate([[0], np.cumsum(size[cols])])
-        wide = size[cols]
-        mark = np.zeros(len(known), np.uint8)
-        for k, r in enumerate(rows):
-            begin = k + 1 if left is None else int(np.searchsorted(wide, size[r] * threshold - 1e-9))
-            end = int(np.searchsorted(wide, size[r] / threshold + 1e-9, side="right"))
-            if end <= begin:
-                continue
-            if left is None:
-                own = feature[at[k] : at[k + 1]]
-            else:
-                own = np.searchsorted(known, grams[r])
-                own = own[known[np.minimum(own, len(known) - 1)] == grams[r]]
-            mark[own] = 1
-            shared = np.add.reduceat(mark[feature[at[begin] : at[end]]], at[begin:end] - at[begin], dtype=np.int64)
-            mark[own] = 0
-            sim = shared / (size[r] + wide[begin:end] - shared)
-            hit = np.flatnonzero(sim >= threshold)
-            if len(hit):
-                a.append(np.full(len(hit), r))
-                b.append(cols[begin + hit])
-                j.append(sim[hit])
+    for k, r in enumerate(rows):
+        if k % 256 == 0:
+            product = dense[rows[k : k + 256]] @ across
+        begin = k + 1 if left is None else int(np.searchsorted(wide, size[r] * threshold - 1e-9))
+        end = int(np.searchsorted(wide, size[r] / threshold + 1e-9, side="right"))
+        if end <= begin:
+            continue
+        shared = product[k % 256, begin:end].astype(np.int64)
+        own = feature[begin_of[r] : begin_of[r + 1]]
+        if len(own):
+            low, high = np.searchsorted(listed, own), np.searchsorted(listed, own, side="right")
+            many = high - low
+            held = post[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            shared += np.bincount(held, minlength=len(cols))[begin:end]
+        sim = shared / (size[r] + wide[begin:end] - shared)
+        hit = np.flatnonzero(sim >= threshold)
+        if len(hit):
+            a.append(np.full(len(hit), r))
+            b.append(cols[begin + hit])
+            j.append(sim[hit])
     if not a:
-        none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
     return np.concatenate(a), np.concatenate(b), np.concatenate(j)
 

@@ -205,3 +205,19 @@ def test_bad_arguments(spark):
             ngram_jaccard.ngram_jaccard_join(odd.plain(spark, []), n, t)
     with pytest.raises(ValueError):
         ngram_jaccard.near_copies(spark.range(3))
+
+
+@pytest.mark.parametrize("dense", [2_000_000, 900, 0])
+def test_compare_is_exact(monkeypatch, dense):
+    """Products and lists of sets, within a part and across, by definition."""
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    rng = np.random.default_rng(dense)
+    for n, size, features in ((2, 5, 8), (40, 6, 40), (120, 30, 300), (90, 40, 45)):
+        base = rng.integers(0, features, size)
+        sets = [np.unique(np.concatenate([base[rng.random(size) > 0.15], rng.integers(0, features, 3)])).astype(np.uint64) for _ in range(n)]
+        for left in (None, rng.random(n) < 0.4, np.zeros(n, bool)):
+            a, b, j = similarity.compare(sets, 0.7, left)
+            got = {(min(x, y), max(x, y)): round(s, 12) for x, y, s in zip(a.tolist(), b.tolist(), j.tolist())}
+            held = [set(s.tolist()) for s in sets]
+            want = {(x, y): round(len(held[x] & held[y]) / len(held[x] | held[y]), 12) for x in range(n) for y in range(x + 1, n) if (left is None or left[x] != left[y]) and len(held[x] & held[y]) >= 0.7 * len(held[x] | held[y])}
+            assert got == want and len(a) == len(got)
