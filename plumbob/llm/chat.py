@@ -100,10 +100,10 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
     body = f"flatten(transform(ts, t -> CASE t.role {cases} END))"
     segments = f"concat({', '.join(x for x in (around[0], body, around[1]) if x)})"
     checked = chats.select("conv_id", "ts", F.expr(fold).alias("error"))
-    good = checked.where("error IS NULL").select("conv_id", F.posexplode(F.expr(segments)).alias("segment", "s"), "error")
-    good = good.select("conv_id", "segment", "s.turn", "s.role", "s.text", "s.loss", "error")
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("segment", "int"), ("turn", "long"), ("role", "string"), ("text", "string"), ("loss", "boolean"))]
-    return good.unionByName(checked.where("error IS NOT NULL").select("conv_id", *none, "error"))
+    # both outcomes leave one generator, so turns are gathered and folded once
+    one = f"CASE WHEN error IS NULL THEN {segments} ELSE array(CAST(NULL AS STRUCT<turn: BIGINT, role: STRING, text: STRING, loss: BOOLEAN>)) END"
+    rows = checked.select("conv_id", "error", F.posexplode(F.expr(one)).alias("segment", "s"))
+    return rows.select("conv_id", F.when(F.col("error").isNull(), F.col("segment")).alias("segment"), "s.turn", "s.role", "s.text", "s.loss", "error")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
