@@ -123,6 +123,60 @@ def test_sets_of_exact_bands_share_a_signature(threshold):
             assert len(np.intersect1d(sign(x[: both + only_a]), sign(np.delete(x, np.s_[both : both + only_a]))))
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.7, 0.85])
+def test_larger_sets_share_a_signature(threshold):
+    """Pairs at the threshold, whatever their sizes and the order of features."""
+    rng = np.random.default_rng(7)
+    signs = ngram_jaccard.signer(threshold), ngram_jaccard.signer(threshold, rng.integers(0, 9, 1 << ngram_jaccard.COUNTER_BITS).astype(np.uint8))
+    for both in (9, 24, 50, 58, 81, 170, 700):
+        alone = int(both / threshold + 1e-9) - both
+        for only_a in (0, alone // 4, alone // 2):
+            for _ in range(60):
+                x = rng.integers(0, 1 << 63, both + alone, dtype=np.uint64)
+                a, b = x[: both + only_a], np.delete(x, np.s_[both : both + only_a])
+                assert all(len(np.intersect1d(sign(a), sign(b))) for sign in signs)
+                assert len(np.intersect1d(ngram_jaccard.runs(a, threshold), ngram_jaccard.runs(b, threshold)))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 0.9])
+def test_sketches_part_no_similar_sets(threshold):
+    rng = np.random.default_rng(8)
+    for size in (3, 60, 64, 65, 400):
+        both = rng.integers(0, 1 << 63, (30, size), dtype=np.uint64)
+        alone = int(size / threshold + 1e-9) - size
+        sets = [np.concatenate([x, rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for x in both for k in (0, alone)]
+        to = similarity.parted(list(range(60)), [len(x) for x in sets], [similarity.sketch(x) for x in sets], threshold)
+        assert all(a == b for a, b in zip(to[::2], to[1::2]))
+        assert size < 400 or threshold < 0.7 or to[::2] == list(range(0, 60, 2))
+
+
+def test_parts_over_many_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(4)]
+    rows = [(7, 1, 0), (7, 2, 1), (7, 3, 0), (8, 4, 1), (8, 5, 2), (9, 6, 3), (9, 4, 1), (9, 1, 0), (9, 3, 0), (9, 9, 3), (11, 2, 1)]
+    batch = pa.table({"block": [r[0] for r in rows], "set_id": [r[1] for r in rows], "size": [300] * len(rows), "sketch": [similarity.sketch(sets[r[2]]) for r in rows]})
+    for most, want in ((256, {(1, 1), (1, 3), (6, 6), (6, 9)}), (4, {(1, 1), (1, 3), *((9, x) for x in (1, 3, 4, 6, 9))})):
+        monkeypatch.setattr(similarity, "SKETCHED_SETS", most)
+        for size in (1, 2, 5, 11):
+            out = similarity._parts(0.7)(iter(batch.to_batches(size)))
+            assert {p for o in out for p in zip(o.column(0).to_pylist(), o.column(1).to_pylist())} == want
+
+
+def continued(count):
+    """Texts of 50 bigrams, and the same with 21 more: a similarity of 50/71."""
+    words = [[f"w{i}x{k}" for k in range(72)] for i in range(count)]
+    return [(2 * i + k, " ".join(w[: 51 + 21 * k])) for i, w in enumerate(words) for k in (0, 1)]
+
+
+def test_no_link_of_larger_texts_is_lost(spark):
+    rows = continued(800)
+    assert {tuple(r) for r in ngram_jaccard.ngram_jaccard_join(odd.plain(spark, rows)).collect()} == {(i, i - i % 2, 1) for i, _ in rows}
+    rows = corpus(11, 80)
+    assert pairs(ngram_jaccard.ngram_jaccard_pairs(odd.plain(spark, rows))) == brute(rows, 2, 0.7)
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op6_fingerprints"])
 def test_sql(spark, name):
     assert compare.differences(spark, SF, registry.QUERIES[name], registry.ORACLE_SQL[name]) == ""
