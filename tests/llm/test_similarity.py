@@ -247,6 +247,25 @@ def test_links_over_many_batches():
         assert got == whole == {(1, 1), (1, 2), (1, 9), *((0, k) for k in range(7))}
 
 
+def test_rows_of_signatures_take_eight_bytes():
+    import pyarrow as pa
+
+    texts = [f"w{i} " * 3 + " ".join(f"w{(i * k) % 97}" for k in range(90)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc_id", "text"])
+    sign = ngram_jaccard.signer(0.7)
+    sets = {similarity.set_id(g): sign(g) for g in (gram_set(one_text_words(t), 2) for t in texts)}
+    bucket = {}
+    for own, sigs in sets.items():
+        for s in sigs.tolist():
+            bucket.setdefault(s, set()).add(own & 0xFFFFFFFF)
+    want = {(min(b), x) for b in bucket.values() if len(b) > 1 for x in b}
+    for parts in (1, 7, 600):  # a shuffle of more parts sends no more bytes
+        rows = list(similarity._signatures(2, sign, parts)(iter([batch, batch])))
+        assert sum(len(x) for b in rows for x in b.column(1).to_pylist()) == 8 * sum(map(len, sets.values()))
+        found = similarity._links(similarity._sorted_rows(iter(rows)))
+        assert {(a, b) for out in found for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
