@@ -158,3 +158,25 @@ def test_pooling(spark):
     t = spark.createDataFrame([("a", 0, 1, [1.0, 2.0]), ("a", 1, 1, [3.0, 4.0]), ("a", 2, 0, [9.0, 9.0]), ("b", 5, 1, [7.0, 7.0])], "k string, pos int, m int, v array<double>")
     assert {r.k: r.v for r in V.mean_pooled(t, "k", "v", "m").collect()} == {"a": [2, 3], "b": [7, 7]}
     assert {r.k: r.v for r in V.first_pooled(t, "k", "v", "pos").collect()} == {"a": [1, 2], "b": [7, 7]}
+
+
+def test_what_a_search_holds_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    kinds = {m: rng.normal(size=(1000, 8)).astype(np.float32) for m in ("cosine", "l2", "dot")}
+    for m, q in kinds.items():
+        v = np.concatenate([rng.normal(size=(60_000, 8)), np.repeat(q[:50], 20, 0)]).astype(np.float32)  # ties, too
+        tracemalloc.start()
+        a, b, score = search.closest(search.Points(q, search.Metric.of(m)), search.Points(v, search.Metric.of(m)), 5)
+        assert tracemalloc.get_traced_memory()[1] < 150e6  # a block's scores alone were 480 MB
+        tracemalloc.stop()
+        assert len(a) == 5000
+        for i in (0, 3, 999):
+            x, y = q[i].astype(float), v.astype(float)
+            want = np.linalg.norm(y - x, axis=1) if m == "l2" else y @ x / (np.linalg.norm(x) * np.linalg.norm(y, axis=1) if m == "cosine" else 1)
+            order = np.lexsort((np.arange(len(v)), np.round(want if m == "l2" else -want, 12)))[:5]
+            assert b[a == i].tolist() == order.tolist()
+            assert np.allclose(score[a == i], want[order], atol=1e-12)
+    big = search.Points(np.array([[1e30, 0.0], [0.0, 1e-30]]), search.Metric.DOT)
+    assert search.closest(big, big, 1)[1].tolist() == [0, 1]
