@@ -25,14 +25,20 @@ from pyspark.sql import functions as F
 
 from plumbob.errors import ValidationError
 from plumbob.functions.vectors import Metric, closeness, normalized
-from plumbob.operators.search import QUERY_BLOCK, checked_k, top_k_batch
+from plumbob.operators.search import QUERY_BLOCK, Best, Points, checked_k, compare, matrix, numbers, top_k_batch
 
 #: Vectors that the centres and probes are fitted on, at most (those of the
 #: smallest hashes of their keys), and how many of them are taken as queries.
 SAMPLE, ASKED = 20_000, 200
-#: Numbers of a group's vectors, and vectors of an undivided cell.
-GROUP_NUMBERS, PART_ROWS = 4_000_000, 50_000
+#: Numbers of a group's vectors, of the queries that meet them at once, and
+#: vectors of an undivided cell.
+GROUP_NUMBERS, ASKED_NUMBERS, PART_ROWS = 4_000_000, 16_000_000, 50_000
+#: Numbers of the rows that a task makes of a batch at once.
+SENT_NUMBERS = 1_000_000
 MOST_CELLS, MOST_PROBES = 4096, 64
+#: Beyond this share of the vectors exact search takes less time: the join spends
+#: about eight times as long on a pair (106 against 27 s on 102,564 vectors).
+EXACT_SHARE = 0.25
 
 
 @dataclass(frozen=True)
@@ -226,26 +232,25 @@ def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim:
     groups = int(min(max(parallel, np.ceil(rows * index.tables * dim / GROUP_NUMBERS)), parts.sum()))
     first = np.concatenate([[0], np.cumsum(parts)])  # a cell's parts are slots, dealt to the groups
     visits = min(1.0, index.tables * index.probes * parts.max() / groups)
-    shares = int(max(1, np.ceil(asked * visits * dim / GROUP_NUMBERS)))  # of the queries of a group
+    shares = int(max(1, np.ceil(asked * visits * dim / ASKED_NUMBERS)))  # of the queries of a group
+    slices = lambda b, each: (b.slice(i, step) for step in [max(1, SENT_NUMBERS // int(max(1, dim * each)))] for i in range(0, b.num_rows, step))
     ids, docs = q.schema["query_id"].dataType.simpleString(), v.schema["doc_id"].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _points(b.column("v"), metric)
-            cells = b.column("cell").to_numpy().astype(np.int64)[:, None] if stored else index.cells(x)
+        for b in (x for whole in batches for x in slices(whole, index.tables * shares)):
+            cells = b.column("cell").to_numpy().astype(np.int64)[:, None] if stored else index.cells(_points(b.column("v"), metric))
             part = b.column("h").to_numpy()[:, None] % parts[cells]
-            row = np.repeat(np.arange(len(x)), cells.shape[1] * shares)
+            row = np.repeat(np.arange(b.num_rows), cells.shape[1] * shares)
             at = np.repeat((first[cells] + part).ravel(), shares)
             share = np.tile(np.arange(shares), cells.size)
-            yield pa.RecordBatch.from_arrays([pa.array((at % groups * shares + share).astype(np.int64)), pa.array(at), b.column("doc_id").take(pa.array(row)), _lists(x[row])], ["g", "slot", "doc_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array((at % groups * shares + share).astype(np.int64)), pa.array(at), b.column("doc_id").take(pa.array(row)), _lists(matrix(b.column("v"))[row])], ["g", "slot", "doc_id", "v"])
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _points(b.column("q"), metric)
+        for b in (x for whole in batches for x in slices(whole, min(groups, index.tables * index.probes * parts.max()))):
             share = b.column("h").to_numpy() % shares
-            cells = index.probed(x)
+            cells = index.probed(_points(b.column("q"), metric))
             many = parts[cells]  # each part of a probed cell is a slot to visit
-            row = np.repeat(np.arange(len(x)), many.sum(1))
+            row = np.repeat(np.arange(b.num_rows), many.sum(1))
             flat, count = cells.ravel(), many.ravel()
             at = np.repeat(first[flat], count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             group = at % groups
@@ -254,55 +259,47 @@ def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim:
             new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1]))) if len(row) else np.zeros(0, np.int64)
             lengths = np.append(new, len(row)).astype(np.int32)
             row, group = row[new], group[new]
-            yield pa.RecordBatch.from_arrays([pa.array(group * shares + share[row]), pa.ListArray.from_arrays(pa.array(lengths), pa.array(at)), b.column("query_id").take(pa.array(row)), _lists(x[row])], ["g", "slots", "query_id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(group * shares + share[row]), pa.ListArray.from_arrays(pa.array(lengths), pa.array(at)), b.column("query_id").take(pa.array(row)), _lists(matrix(b.column("q"))[row])], ["g", "slots", "query_id", "q"])
 
     def meet(asking: pa.Table, y: pa.Table) -> pa.Table:
+        """Queries come in blocks, each of which keeps its k best only."""
         empty = pa.table({"query_id": asking.column("query_id").slice(0, 0), "doc_id": y.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
         if not len(asking) or not len(y):
             return empty
+        # positions follow doc_ids in a slot, and tell which vector it is in any
         y = y.sort_by([("slot", "ascending"), ("doc_id", "ascending")])
-        qm, vm, slot = _array(asking.column("q")), _array(y.column("v")), y.column("slot").to_numpy()
+        qm, vm, slot = Points(matrix(asking.column("q")), metric), Points(matrix(y.column("v")), metric), y.column("slot").to_numpy()
+        keys = y.column("doc_id").combine_chunks()
+        code = keys.dictionary_encode()
+        order = np.argsort(code.dictionary.to_numpy(zero_copy_only=False), kind="stable")
+        place, known = np.empty(len(order), np.int64), code.dictionary.take(pa.array(order))
+        place[order] = np.arange(len(order))
+        place = place[code.indices.to_numpy()]
         lists = asking.column("slots").combine_chunks()
-        owner = np.repeat(np.arange(len(asking)), lists.value_lengths().to_numpy())
-        flat = lists.flatten().to_numpy()
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+        slots, begin = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        names, low = np.unique(slot, return_index=True)
+        high = np.append(low[1:], len(slot))
         found = []
-        for s in np.unique(slot):
-            lo, hi = np.searchsorted(slot, s), np.searchsorted(slot, s, side="right")
-            who = owner[np.searchsorted(flat, s) : np.searchsorted(flat, s, side="right")]
-            for i in range(0, len(who), QUERY_BLOCK):
-                some = who[i : i + QUERY_BLOCK]
-                product = qm[some] @ vm[lo:hi].T  # cosines, too: vectors have norm 1 then
-                rank = (vm[lo:hi] ** 2).sum(1) - 2 * product if metric is Metric.L2 else -product
-                if hi - lo > k:
-                    # products lose digits: what is near the k-th is taken, then measured
-                    cut = np.partition(rank, k - 1, axis=1)[:, k - 1]
-                    a, b = np.nonzero(rank <= (cut + 1e-6 * (1 + np.abs(cut)))[:, None])
-                else:
-                    a, b = np.nonzero(np.ones_like(rank, bool))
-                x, v = qm[some[a]], vm[lo + b]
-                score = np.linalg.norm(x - v, axis=1) if metric is Metric.L2 else np.einsum("ij,ij->i", x, v)
-                found.append((some[a], lo + b, score, score if metric is Metric.L2 else -score))
-        if not found:
-            return empty
-        who, which, score, rank = (np.concatenate(c) for c in zip(*found))
-        ids = y.column("doc_id").combine_chunks().take(pa.array(which))
-        code = ids.dictionary_encode()
-        place = np.argsort(np.argsort(code.dictionary.to_numpy(zero_copy_only=False)))[code.indices.to_numpy()]
-        order = np.lexsort((place, rank, who))
-        if index.tables > 1:  # one vector may be met in several tables
-            both = who[order] * np.int64(len(code.dictionary)) + place[order]
-            order = order[np.sort(np.unique(both, return_index=True)[1])]
-        begins = np.flatnonzero(np.append(True, np.diff(who[order]) > 0))
-        nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
-        keep = order[nth < k]
-        return pa.table({"query_id": asking.column("query_id").combine_chunks().take(pa.array(who[keep])), "doc_id": ids.take(pa.array(keep)), "score": pa.array(score[keep])})
+        for i in range(0, len(asking), QUERY_BLOCK):
+            j = min(len(asking), i + QUERY_BLOCK)
+            owner, flat = np.repeat(np.arange(i, j), np.diff(begin[i : j + 1])), slots[begin[i] : begin[j]]
+            by_slot = np.argsort(flat, kind="stable")
+            owner, flat = owner[by_slot], flat[by_slot]
+            best = Best(i, j - i, k, index.tables > 1)
+            for s, lo, hi in zip(names, low, high):
+                who = owner[np.searchsorted(flat, s) : np.searchsorted(flat, s, side="right")]
+                if len(who):
+                    compare(best, qm, vm, who, lo, hi, place)
+            a, b, close = best.settle()
+            found.append((a + i, b, close))
+        who, which, close = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"query_id": asking.column("query_id").combine_chunks().take(pa.array(who)), "doc_id": known.take(pa.array(which)), "score": pa.array(-close if metric is Metric.L2 else close)})
 
     v = v.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)))
     q = q.withColumn("h", F.xxhash64("query_id").bitwiseAND(F.lit((1 << 62) - 1)))
-    a = q.mapInArrow(queries, f"g long, slots array<long>, query_id {ids}, q array<double>")
-    b = v.mapInArrow(vectors, f"g long, slot long, doc_id {docs}, v array<double>")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((q, "q"), (v, "v"))]
+    a = q.mapInArrow(queries, f"g long, slots array<long>, query_id {ids}, q {kinds[0]}")
+    b = v.mapInArrow(vectors, f"g long, slot long, doc_id {docs}, v {kinds[1]}")
     near = a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(meet, f"query_id {ids}, doc_id {docs}, score double")
     if index.tables > 1:
         near = near.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
@@ -314,7 +311,7 @@ def _joined(v: DataFrame, q: DataFrame, index, fill: np.ndarray, rows: int, dim:
 def _fitted(docs: DataFrame, key: str, vector: str, metric: Metric):
     """``(doc_id, v)`` of the vectors of one dimension, how many they are, the
     dimension and a sample."""
-    v = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
+    v = docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), numbers(docs, vector).alias("v"))
     size = v.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("d")).first()
     if size.low != size.d:
         raise ValidationError(f"vectors of dimensions {size.low} to {size.d}")
@@ -330,11 +327,11 @@ def _search(docs, queries, k, metric, size, key, vector, build) -> DataFrame:
     checked_k(k)
     metric = Metric.of(metric)
     v, rows, dim, x = _fitted(docs, key, vector, metric)
-    q = queries.where(F.size(vector) == dim).select("query_id", F.col(vector).cast("array<double>").alias("q"))
+    q = queries.where(F.size(vector) == dim).select("query_id", numbers(queries, vector).alias("q"))
     if not rows:
         return q.crossJoin(v).select("query_id", F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)
     index = build(x, rows, k, metric, size)
-    if not size.probes and index.share() > 0.5:  # exact search does less then
+    if not size.probes and index.share() > EXACT_SHARE:  # exact search does less then
         return top_k_batch(v, q, k, metric, "doc_id", "v", vector_of_queries="q")
     return _joined(v, q, index, _fill(index, x), rows, dim, k, metric)
 
@@ -384,7 +381,7 @@ def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, pro
     known = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
     index = CellIndex(np.array([r.centre for r in known]), probes or known[0].probes, metric)
     dim = index.centres.shape[1]
-    q = queries.where(F.size(vector) == dim).select("query_id", F.col(vector).cast("array<double>").alias("q"))
+    q = queries.where(F.size(vector) == dim).select("query_id", numbers(queries, vector).alias("q"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
