@@ -180,3 +180,11 @@ def test_what_a_search_holds_is_bounded():
             assert np.allclose(score[a == i], want[order], atol=1e-12)
     big = search.Points(np.array([[1e30, 0.0], [0.0, 1e-30]]), search.Metric.DOT)
     assert search.closest(big, big, 1)[1].tolist() == [0, 1]
+
+
+def test_pairs_send_each_vector_a_few_times(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding"))
+    plan = V.pairwise(rows, "doc_id", "embedding")._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 42), 4) as int) AS own" in plan  # 4 blocks, 30 before
+    assert "array<double>" not in plan
+    assert V.pairwise(rows.limit(3000), "doc_id", "embedding").agg(F.count("*"), F.countDistinct("a")).first()[:] == (3000 * 2999 // 2, 2999)
